@@ -12,6 +12,15 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A lambda that refers to an outer expression evaluates it again for every element; bound
+    through a one-element array it is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pad_or_clip(a, size, value=0) -> Column:
     """Array of exactly ``size`` items: cut at the end or filled with ``value``."""
     a = _c(a)
@@ -23,10 +32,8 @@ def pad_or_clip(a, size, value=0) -> Column:
 
 def one_hot(labels, size: int) -> Column:
     """Dense 0/1 vector of an array of label indices (or one index)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.array_contains(_c(labels), i).cast("int"),
-    )
+    index = F.sequence(F.lit(0), F.lit(size - 1))
+    return let(_c(labels), lambda l: F.transform(index, lambda i: F.array_contains(l, i).cast("int")))
 
 
 def multi_hot(text, vocabulary: Sequence[str], separator: str = "|", rename=None) -> Column:
@@ -72,7 +79,7 @@ def sample_sequence(a, steps: int, stride: int = 1, offset=None) -> Column:
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: (offset + i * stride).cast("int")
     )
-    return F.transform(picks, lambda i: F.get(a, F.pmod(i, F.size(a))))
+    return let(a, lambda v: F.transform(picks, lambda i: F.get(v, F.pmod(i, F.size(v)))))
 
 
 def sample_linspace(a, windows: int, steps: int, stride: int = 1) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.arrays import let
+
 # Character classes.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\x{FFFD}]"
 WHITESPACE = r"[ \t\n\r\p{Zs}]"
@@ -88,20 +90,20 @@ ALNUM_RUN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 def split_alnum_runs(s) -> Column:
     """Runs of letters/digits and runs of the rest; a lone inner space is implied, not kept."""
     runs = F.regexp_extract_all(_c(s), F.lit(ALNUM_RUN), F.lit(0))
-    return F.filter(runs, lambda r, i: (r != " ") | (i == 0) | (i == F.size(runs) - 1))
+    return let(
+        runs, lambda rs: F.filter(rs, lambda r, i: (r != " ") | (i == 0) | (i == F.size(rs) - 1))
+    )
 
 
 def join_alnum_runs(tokens) -> Column:
     """Inverse of ``split_alnum_runs``."""
-    tokens = _c(tokens)
     alnum = lambda t: t.rlike(r"^[\p{L}\p{N}]")
-    spaced = F.transform(
-        tokens,
-        lambda t, i: F.when(
-            (i > 0) & alnum(t) & alnum(F.get(tokens, i - 1)), F.concat(F.lit(" "), t)
-        ).otherwise(t),
-    )
-    return F.array_join(spaced, "")
+
+    def spaced(ts):
+        between = lambda t, i: (i > 0) & alnum(t) & alnum(F.get(ts, i - 1))
+        return F.transform(ts, lambda t, i: F.when(between(t, i), F.concat(F.lit(" "), t)).otherwise(t))
+
+    return F.array_join(let(_c(tokens), spaced), "")
 
 
 def escape_token(token, alphabet: str) -> Column:
@@ -279,8 +281,10 @@ def pair_features(a, b, limit: int, cls="[CLS]", sep="[SEP]", pad="[PAD]") -> Co
 
 def sliding(tokens, n: int) -> Column:
     """All windows of n consecutive items; none when the array is shorter."""
-    tokens = _c(tokens)
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when(
-        F.size(tokens) >= n, F.transform(starts, lambda i: F.slice(tokens, i, F.lit(n)))
-    ).otherwise(F.filter(F.array(tokens), lambda x: F.lit(False)))
+
+    def windows(ts):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ts) - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.slice(ts, i, F.lit(n)))
+        return F.filter(cut, lambda w: F.size(w) == n)
+
+    return let(_c(tokens), windows)

@@ -43,22 +43,37 @@ def join_ratings_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
     return ratings.join(items, "item_id").withColumn("rating", F.col("rating").cast("float"))
 
 
+def nested_lists(
+    df: DataFrame, key: str, order_by: Sequence[str], fields: Sequence[str], out: str, most: int = 1000
+) -> DataFrame:
+    """Rows of a key as sorted arrays of at most ``most`` items: (key, part, out).
+
+    Nearly every key has the single part 0; a key with more rows continues in further parts,
+    so no array grows with the data and nothing is cut off.
+    """
+    rows = with_position(df, [*order_by], [key], "_nth")
+    rows = rows.withColumn("part", F.floor(F.col("_nth") / most).cast("int"))
+    lists = rows.groupBy(key, "part").agg(
+        F.array_sort(F.collect_list(F.struct("_nth", *fields))).alias("_l")
+    )
+    plain = F.transform("_l", lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    return lists.select(key, "part", plain.alias(out))
+
+
 def join_annotations(
-    images: DataFrame, boxes: DataFrame, captions: DataFrame, categories: DataFrame, order: Sequence[str]
+    images: DataFrame, boxes: DataFrame, captions: DataFrame, categories: DataFrame,
+    order: Sequence[str], most: int = 1000,
 ) -> DataFrame:
-    """One row per image with its boxes and captions as sorted arrays (empty when none)."""
+    """Images with their boxes (category named) and captions as sorted arrays.
+
+    One row per image and part; parts beyond 0 appear only for images with more than ``most``
+    boxes or captions. Arrays are null where there is nothing.
+    """
     named = boxes.join(categories, "category_id", "left")
-    fields = [*order, "category_id", "category"]
-    per_image = named.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes")
-    )
-    texts = captions.groupBy("image_id").agg(
-        F.array_sort(F.collect_list("caption")).alias("captions")
-    )
-    out = images.join(per_image, "image_id", "left").join(texts, "image_id", "left")
-    return out.withColumn("has_box", F.col("boxes").isNotNull()).withColumn(
-        "has_caption", F.col("captions").isNotNull()
-    )
+    box_lists = nested_lists(named, "image_id", order, [*order, "category_id", "category"], "boxes", most)
+    texts = nested_lists(captions, "image_id", ["caption"], ["caption"], "captions", most)
+    lists = box_lists.join(texts, ["image_id", "part"], "full")
+    return images.join(lists, "image_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def positional_pairs(df: DataFrame, group: str, pivot: str, order_by) -> DataFrame:

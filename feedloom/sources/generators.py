@@ -26,11 +26,13 @@ def constant_rows(
         raise ValueError(f"a row may hold at most {MAX_ROW_BYTES} bytes")
     items = -(-bytes_per_row // (columns * TYPE_SIZE[kind]))
     index = F.sequence(F.lit(0), F.lit(items - 1))
-    value = lambda i, c: unit(i, F.lit(c), seed) if kind == "float" else draw(F.lit(2**31 - 1), i, F.lit(c), seed)
-    arrays = [
-        F.transform(index, lambda i, c=c: value(i, c).cast(kind)).alias(f"c{c}")
-        for c in range(columns)
-    ]
+
+    def one_array(c: int) -> Column:
+        if kind == "float":
+            return F.transform(index, lambda i: unit(i, F.lit(c), seed).cast(kind))
+        return F.transform(index, lambda i: draw(F.lit(2**31 - 1), i, F.lit(c), seed).cast(kind))
+
+    arrays = [one_array(c).alias(f"c{c}") for c in range(columns)]
     return spark.range(rows).select(*arrays)
 
 

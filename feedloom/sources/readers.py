@@ -154,17 +154,17 @@ EVIDENCE_QA_SCHEMA = (
 def flatten_evidence_qa(docs: DataFrame) -> DataFrame:
     """One row per question and listed evidence file, with its source list's name."""
     q = docs.select(F.explode("Data").alias("q")).select("q.*")
-    both = F.concat(
-        *[
-            F.transform(
-                F.coalesce(name, F.expr("array()")),
-                lambda e, n=name: F.struct(
-                    F.lit(n).alias("source"), e["Filename"].alias("file"), e["Title"].alias("title")
-                ),
-            )
-            for name in ("EntityPages", "SearchResults")
-        ]
-    )
+
+    def listed(source: str):
+        entries = F.coalesce(source, F.expr("array()"))
+        return F.transform(
+            entries,
+            lambda e: F.struct(
+                F.lit(source).alias("source"), e["Filename"].alias("file"), e["Title"].alias("title")
+            ),
+        )
+
+    both = F.concat(listed("EntityPages"), listed("SearchResults"))
     return q.select(
         F.col("QuestionId").alias("qid"), F.col("Question").alias("question"),
         F.col("Answer").alias("answer"), F.explode_outer(both).alias("e"),
