@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.arrays import let
 
@@ -58,7 +59,7 @@ def space_cjk(s) -> Column:
     return F.regexp_replace(_c(s), f"({CJK})", " $1 ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Canonical decomposition without the nonspacing marks."""
 
@@ -150,7 +151,7 @@ def bleu_tokenize(s) -> Column:
     return split_words(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_combining(text: pd.Series) -> pd.Series:
     def plain(s):
         if s is None or s.isascii():

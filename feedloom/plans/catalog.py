@@ -39,6 +39,8 @@ def _with_views(views: list[str], sql: str) -> str:
     if not views:
         return sql
     heads = ",\n".join(VIEW_SQL[v] for v in views)
+    if sql.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {heads},\n{sql[14:].lstrip()}"
     if sql[:4].upper() == "WITH":
         return f"WITH {heads},\n{sql[4:].lstrip()}"
     return f"WITH {heads}\n{sql}"
