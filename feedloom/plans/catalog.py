@@ -48,8 +48,6 @@ def _with_views(views: list[str], sql: str) -> str:
 
 def _load() -> None:
     for module in _MODULES:
-        import os
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), module + "_queries.py")): continue
         importlib.import_module(f"feedloom.plans.{module}_queries")
 
 
