@@ -138,6 +138,8 @@ def nms(boxes: DataFrame, threshold: float, most: int, keys: Sequence[str] = ("i
         weaker = conflicts.select(*keys, F.col("lo").alias("hi")).distinct()
         safe = conflicts.join(weaker, [*keys, "hi"], "left_anti")
         gone = staged(safe.select(*keys, F.col("lo").alias("box_id")).distinct(), "dropped")
+        if gone.isEmpty():
+            raise ValueError("box ids must be unique within a key")
         dropped.append(gone)
         rest = conflicts
         for side in ("lo", "hi"):
@@ -254,7 +256,7 @@ def _picker(field: str):
 def few_shot(annotations: DataFrame, images: DataFrame, classes: Sequence[int], shots: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``shots`` annotations per class picked by a seeded hash, and their images once each."""
     base = annotations.filter(F.col("class").isin(*classes))
-    picked = top_rows(base, shots, [mix("box_id", 0, seed), "box_id"], ["class"]).drop("rank")
+    picked = top_rows(base, shots, [mix("box_id", "image_id", seed), "box_id", "image_id"], ["class"]).drop("rank")
     used = images.join(picked.select("image_id").distinct(), "image_id", "left_semi")
     return picked, dedup_keep_last(used, ["image_id"], [c for c in images.columns if c != "image_id"])
 
@@ -298,6 +300,8 @@ def match_detections(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         first = edges.groupBy(*keys, "truth").agg(F.min("place").alias("first"))
         won = choice.join(first, [*keys, "truth"]).filter(F.col("crowd") | (F.col("place") == F.col("first"))).drop("first")
         won = staged(won, "matches")
+        if won.isEmpty():
+            raise ValueError("detection and truth ids must be unique within a key")
         fixed.append(won)
         rest = edges.join(won.select(*keys, "det"), [*keys, "det"], "left_anti")
         rest = rest.join(won.filter(~F.col("crowd")).select(*keys, "truth"), [*keys, "truth"], "left_anti")

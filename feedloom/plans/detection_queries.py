@@ -377,7 +377,7 @@ def _(t):
                       F.size("ymin").cast("bigint").alias("n"), F.round(weighted, 4).alias("check_x"))
 
 
-FEW_SQL = f"""pk AS (SELECT image_id, box_id, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {h_sql('box_id', '0', 17)}, box_id) AS r
+FEW_SQL = f"""pk AS (SELECT image_id, box_id, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {h_sql('box_id', 'image_id', 17)}, box_id, image_id) AS r
   FROM boxes WHERE class IN (1, 2, 3, 5)) WHERE r <= 30)"""
 
 

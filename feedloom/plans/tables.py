@@ -125,14 +125,20 @@ def _qa(t: Tables) -> DataFrame:
 
 
 def _boxes(t: Tables) -> DataFrame:
-    """Order lines as boxes, sixteen orders to an image; odd lines are truths."""
+    """Order lines as boxes, sixteen orders to an image; odd lines are truths.
+
+    Box ids must be unique within an image, so repeated order lines count once.
+    """
     ymin, xmin = (F.col("l_partkey") * 7) % 500, (F.col("l_suppkey") * 13) % 500
     box_id = (
         ((F.col("l_orderkey") % 16) * 1000000000 + F.col("l_partkey")) * 10000000
         + F.col("l_suppkey")
     ) * 10 + F.col("l_linenumber")
     image = F.floor(F.col("l_orderkey") / 16).cast("bigint")
-    return t.lineitem.select(
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    one = F.min(F.struct("l_quantity", "l_discount")).alias("v")
+    lines = t.lineitem.groupBy(*key).agg(one).select(*key, "v.*")
+    return lines.select(
         image.alias("image_id"),
         box_id.alias("box_id"),
         ymin.cast("double").alias("ymin"),
@@ -218,7 +224,10 @@ VIEW_SQL = {
     ((l_partkey * 7) % 500)::DOUBLE AS ymin, ((l_suppkey * 13) % 500)::DOUBLE AS xmin,
     ((l_partkey * 7) % 500 + 1 + l_quantity)::DOUBLE AS ymax,
     ((l_suppkey * 13) % 500 + 1 + l_partkey % 60)::DOUBLE AS xmax,
-    l_suppkey % 10 AS class, l_discount, l_linenumber % 2 = 1 AS is_truth FROM lineitem))""",
+    l_suppkey % 10 AS class, l_discount, l_linenumber % 2 = 1 AS is_truth FROM (
+      SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, v.q AS l_quantity, v.d AS l_discount FROM (
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, min({{'q': l_quantity, 'd': l_discount}}) AS v
+        FROM lineitem GROUP BY 1, 2, 3, 4))))""",
     "vectors": """vectors AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, label,
     ((label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END) % 10)::INT AS predicted FROM embeddings)""",

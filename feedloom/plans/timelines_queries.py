@@ -82,9 +82,10 @@ def _(t):
 
 
 @check("duplicate_mask", sql="""
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) > 1)::INT AS duplicate FROM lineitem""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) > 1)::INT AS duplicate
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)""")
 def _(t):
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
     rows = rows.withColumn("at", F.col("l_partkey") * 100000 + F.col("l_suppkey"))
     return T.duplicate_mask(rows, ["l_orderkey"], "l_linenumber", "at").drop("at")
 

@@ -72,7 +72,8 @@ def read_delimited(
     Undecodable bytes are dropped.
     """
     lines = spark.read.format("binaryFile").load(path) if False else spark.read.text(path)
-    clean = lines.select(F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    dropped = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    clean = lines.select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(dropped).alias("value"))
     if skip_header:
         header = separator.join(names)
         first = clean.limit(1).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 import traceback
@@ -28,7 +29,13 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(out, key=repr)
 
 
+def too_long(*_):
+    raise TimeoutError("over the time limit of one query")
+
+
 def main() -> int:
+    limit = int(os.environ.get("LIMIT", "300"))
+    signal.signal(signal.SIGALRM, too_long)
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = local_session()
@@ -45,6 +52,7 @@ def main() -> int:
     bad = 0
     for name in names:
         t0 = time.time()
+        signal.alarm(limit)
         try:
             df = queries[name](spark, sf_dir)
             got = rows_of(df.columns, [tuple(r) for r in df.collect()])
