@@ -147,7 +147,9 @@ def masked_lm(rows: DataFrame, keys: Sequence[str], tokens: str, positions: str,
     picked = rows.select(*keys, key.alias("_k"), tokens, F.explode(positions).alias("pos"))
     picked = picked.select(*keys, "_k", "pos", F.get(tokens, F.col("pos")).alias("label"))
     u = unit("_k", F.col("pos"), seed)
-    word_no = F.when(u >= 0.9, draw(F.lit(vocab_size), "_k", F.col("pos"), seed + 1))
+    # Tokens that need no word get spread-out numbers below 0: nulls would all meet in one task.
+    none = -1 - F.pmod(F.xxhash64("_k", "pos"), F.lit(1 << 31))
+    word_no = F.when(u >= 0.9, draw(F.lit(vocab_size), "_k", F.col("pos"), seed + 1)).otherwise(none)
     picked = picked.withColumn("_u", u).withColumn("id", word_no)
     out = picked.join(vocab.select("id", "word"), "id", "left")
     token = F.when(F.col("_u") < 0.8, MASK).when(F.col("_u") < 0.9, F.col("label")).otherwise(F.col("word"))

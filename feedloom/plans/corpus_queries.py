@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions.hashing import mix
+from feedloom.functions.arrays import let
 from feedloom.functions.text import answer_aliases, normalize_url, split_punct, split_words
 from feedloom.operators import corpus as C
 from feedloom.operators import vocabulary as V
@@ -29,9 +29,10 @@ def word_pieces(word):
 def sequences(t):
     """Every document as consecutive sequences of [CLS] + 62 pieces + [SEP]."""
     pieces = F.flatten(F.transform(split_words("text"), word_pieces))
-    rows = t.documents.select("doc_id", pieces.alias("x")).filter(F.size("x") > 0)
-    rows = rows.select("doc_id", "x", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / ROOM).cast("int"))).alias("seg"))
-    tokens = F.concat(F.array(F.lit(C.CLS)), F.slice("x", F.col("seg") * ROOM + 1, F.lit(ROOM)), F.array(F.lit(C.SEP)))
+    count = lambda x: F.ceil(F.size(x) / ROOM).cast("int")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), count(x) - 1), lambda k: F.slice(x, k * ROOM + 1, F.lit(ROOM)))
+    rows = t.documents.select("doc_id", F.posexplode(F.filter(let(pieces, cut), lambda c: F.size(c) > 0)).alias("seg", "c"))
+    tokens = F.concat(F.array(F.lit(C.CLS)), "c", F.array(F.lit(C.SEP)))
     return rows.select("doc_id", "seg", tokens.alias("tokens"))
 
 
