@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import MODULUS, mix
+from feedloom.session import spread
 
 
 def h_sql(a: str, b: str = "0", seed: int = 0) -> str:
@@ -26,7 +27,8 @@ class Tables:
             return VIEWS[name](self)
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(table) if name == "documents" else table
 
 
 def _ratings(t: Tables) -> DataFrame:

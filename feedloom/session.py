@@ -63,3 +63,13 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its files give fewer splits than there are cores.
+
+    For heavy work per row on a table of few files. An input with enough splits is left alone,
+    so on a large one this costs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
