@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.session import staged
+
 RANGE = "_range"
 SMALL_ROWS = 4096  # one range suffices up to here
 SAMPLES_PER_RANGE = 64
@@ -87,7 +89,15 @@ def range_number(df: DataFrame, order_by, points: list[tuple]) -> Column:
 
 
 def with_range(df: DataFrame, order_by, ranges: int | None = None) -> tuple[DataFrame, bool]:
-    """``df`` plus its order range, and whether there is more than one range."""
+    """``df`` plus its order range, and whether there is more than one range.
+
+    The rows are read once more for the per-range table. Counts over exploded arrays are written
+    out first: they are costly to repeat, and Spark 4.1 does not resolve a self-join of such a
+    plan on an expression with a lambda.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if "Generate " in plan and "Aggregate " in plan:
+        df = staged(df, "ordered")
     points = split_points(df, order_by, ranges)
     return df.withColumn(RANGE, range_number(df, order_by, points)), bool(points)
 

@@ -8,6 +8,7 @@ from feedloom.functions.text import split_alnum_runs
 from feedloom.operators import aggregates as G
 from feedloom.operators.dataset import dedup_keep_last
 from feedloom.plans.catalog import check
+from feedloom.session import spread
 
 SUMMARY_SQL = """s AS (SELECT cache_policy, sleep_ms,
   CASE WHEN count(*) > 2 THEN avg(seconds) FILTER (WHERE epoch >= 2) ELSE avg(seconds) END AS avg,
@@ -120,7 +121,7 @@ def _(t):
 WITH r AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS x FROM documents)
 SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(x, lambda t, i: t <> ' ' OR i = 1 OR i = len(x))) AS token FROM r) GROUP BY 1""")
 def _(t):
-    return G.token_counts(t.documents, split_alnum_runs("text"))
+    return G.token_counts(spread(t.documents), split_alnum_runs("text"))
 
 
 @check("alphabet", sql=r"""

@@ -15,7 +15,7 @@ from feedloom.plans.catalog import check
 from feedloom.plans.dataset_queries import WORDS
 from feedloom.plans.joins_queries import PAGES_SQL, story_tables
 from feedloom.plans.tables import h_sql
-from feedloom.session import fresh_folder, staged
+from feedloom.session import fresh_folder, spread, staged
 
 ROOM = 62  # pieces between the two markers of a sequence
 
@@ -31,7 +31,7 @@ def sequences(t):
     pieces = F.flatten(F.transform(split_words("text"), word_pieces))
     count = lambda x: F.ceil(F.size(x) / ROOM).cast("int")
     cut = lambda x: F.transform(F.sequence(F.lit(0), count(x) - 1), lambda k: F.slice(x, k * ROOM + 1, F.lit(ROOM)))
-    rows = t.documents.select("doc_id", F.posexplode(F.filter(let(pieces, cut), lambda c: F.size(c) > 0)).alias("seg", "c"))
+    rows = spread(t.documents).select("doc_id", F.posexplode(F.filter(let(pieces, cut), lambda c: F.size(c) > 0)).alias("seg", "c"))
     tokens = F.concat(F.array(F.lit(C.CLS)), "c", F.array(F.lit(C.SEP)))
     return rows.select("doc_id", "seg", tokens.alias("tokens"))
 
@@ -181,7 +181,7 @@ SELECT doc_id, seg, pos::INT AS pos, u.token AS label, CASE WHEN u < 0.8 THEN '[
 FROM u LEFT JOIN v ON v.id = u.id""")
 def _(t):
     often = t.tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 5").select(F.col("token").alias("word"))
-    vocab = staged(with_position(often, ["word"], name="id"))
+    vocab = staged(with_position(staged(often), ["word"], name="id"))
     return C.masked_lm(masked_positions(t), ["doc_id", "seg"], "tokens", "positions", vocab, vocab.count(), row_key(), 62)
 
 

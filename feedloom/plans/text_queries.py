@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import text as X
 from feedloom.operators.aggregates import ESCAPE_CHARACTERS
 from feedloom.plans.catalog import check
+from feedloom.session import spread
 
 # Text with characters the plain documents lack: a zero-width space, a tab, a no-break space, an ideograph.
 ODD_SQL = """odd AS (SELECT doc_id, replace(replace(replace(text, 'qu', 'q' || chr(8203) || 'u'), ' de ', chr(9) || 'de' || chr(160)), 'th', '中') AS t
@@ -58,7 +59,7 @@ def _(t):
 WITH {ODD_SQL}, c AS (SELECT doc_id, strip_accents(lower({CJK_SQL.format(CLEAN_SQL.format('t'))})) AS s FROM odd)
 SELECT doc_id, array_to_string({PUNCT_SQL.format('s')}, ' ') AS words FROM c""")
 def _(t):
-    return odd(t).select("doc_id", joined(X.basic_tokenize("t")).alias("words"))
+    return spread(odd(t)).select("doc_id", joined(X.basic_tokenize("t")).alias("words"))
 
 
 @check("split_alnum_runs", sql=r"""
