@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, secrets
+from feedloom.llm import chat, decontaminate, exact_dedup, secrets, warc
+from feedloom.session import fresh_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -46,6 +47,21 @@ def op3(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op2_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+)
+SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM p
+""")
+def op2(spark, sf_dir):
+    folder = fresh_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.capture_digests(warc.assemble(warc.read_archives(spark, folder)))
+
+
 def _count_of(kind):
     return F.size(F.filter("found", lambda s: s["kind"] == kind))
 
