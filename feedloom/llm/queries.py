@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, secrets, warc
+from feedloom.llm import chat, decontaminate, exact_dedup, langid, quality, secrets, warc
+from feedloom.llm.common import crc_fold
 from feedloom.session import fresh_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,29 @@ def op3(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def in_fold(folds: int, fold: int):
+    """Whether a document is held out; one without an id is not."""
+    return F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
+QUALITY_LIMIT = 0.3
+
+
+@query("op1_quality")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", in_fold(5, 0), model.score_column(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_LIMIT).cast("int"))
+
+
+@query("op7_language")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", in_fold(4, 2), langid.fit(docs).predict_column(F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
+
+
 @query("op2_warc", """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
