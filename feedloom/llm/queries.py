@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, langid, quality, secrets, warc
+from feedloom.llm import chat, decontaminate, exact_dedup, langid, piece_lattice, quality, secrets, warc
 from feedloom.llm.common import crc_fold
 from feedloom.session import fresh_folder
 
@@ -130,3 +130,10 @@ def op8(spark, sf_dir):
         F.sha2(F.array_join("learned", ""), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_lattice.encode_checked(docs, piece_lattice.Pieces.load())
+    return coded.select("doc_id", F.size("encoded.ids").cast("long").alias("n_pieces"), F.col("encoded.ids").alias("piece_ids"), F.col("encoded.lossless").alias("lossless"))
