@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, langid, piece_lattice, quality, secrets, warc
+from feedloom.llm import chat, decontaminate, exact_dedup, langid, minhash, piece_lattice, quality, secrets, warc
 from feedloom.llm.common import crc_fold
 from feedloom.session import fresh_folder
 
@@ -86,6 +86,11 @@ def op2(spark, sf_dir):
     return warc.capture_digests(warc.assemble(warc.read_archives(spark, folder)))
 
 
+@query("op4_minhash")
+def op4(spark, sf_dir):
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def _count_of(kind):
     return F.size(F.filter("found", lambda s: s["kind"] == kind))
 
