@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, langid, minhash, piece_lattice, quality, secrets, warc
+from feedloom.llm import chat, decontaminate, exact_dedup, langid, lm, minhash, piece_lattice, quality, secrets, warc
 from feedloom.llm.common import crc_fold
 from feedloom.session import fresh_folder
 
@@ -142,3 +142,10 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece_lattice.encode_checked(docs, piece_lattice.Pieces.load())
     return coded.select("doc_id", F.size("encoded.ids").cast("long").alias("n_pieces"), F.col("encoded.ids").alias("piece_ids"), F.col("encoded.lossless").alias("lossless"))
+
+
+@query("op10_lm_score")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.fit(docs))
+    return scored.select("doc_id", in_fold(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
