@@ -7,6 +7,7 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
@@ -53,16 +54,21 @@ def text_udf(make: Callable[[], Callable[..., pa.Array]], ddl: str) -> Callable[
         return F.arrow_udf(run, ddl, ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
-def pieces(items: list, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive items of about ``most`` summed size, at least one item each."""
+def runs(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column a part at a time: where the part starts and its UTF-8 bytes (null is empty).
+
+    A part holds about ``most`` bytes, or one longer text, so a task's memory follows the part and
+    not the batch.
+    """
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    raw = whole.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(raw), 0).to_pylist()
     start = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield start, i
+    for i, n in enumerate([*sizes, most + 1]):
+        if i > start and held + n > most:
+            yield start, [b"" if x is None else x for x in raw.slice(start, i - start).to_pylist()]
             start, held = i, 0
         held += n
-    if start < len(items):
-        yield start, len(items)
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -85,4 +91,4 @@ def keep_rows(docs: DataFrame, keep: DataFrame, keys: dict[str, Column]) -> Data
     )
 
 
-__all__ = ["SPACE_CLASS", "crc_fold", "fresh", "keep_rows", "pieces", "staged", "text_udf", "texts"]
+__all__ = ["SPACE_CLASS", "crc_fold", "fresh", "keep_rows", "runs", "staged", "text_udf", "texts"]

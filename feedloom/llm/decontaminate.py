@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fresh, text_udf, texts
+from feedloom.llm.common import fresh, runs, text_udf
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SIZE = 10
 #: The set is broadcast in blocks of items of at most this many bytes; a larger benchmark takes a pass for each block.
 BLOCK_BYTES = 32 << 20
+#: Bytes of texts taken into words at once.
+PART_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "struct<n_words:long,spans:array<struct<start:int,end:int>>,n_hit:long,items:array<string>>"
 KIND = pa.struct([
@@ -120,8 +122,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     def make():
         single = Windows(shared[0].value, size) if len(shared) == 1 else None
 
-        def look(column):
-            split = [words_of(t) for t in texts(column)]
+        def rows(data):
+            split = [words_of(t) for t in data]
             flags = [np.zeros(len(w), dtype=bool) for w in split]
             names: list[set] = [set() for _ in split]
             for block in shared:
@@ -132,10 +134,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
                     hit, items = windows.scan(ids)
                     flags[i] |= hit
                     names[i].update(windows.names[x] for x in items)
-            return pa.array([
+            return [
                 {"n_words": len(row), "spans": _runs(hit), "n_hit": int(hit.sum()), "items": sorted(x for x in found if x is not None)}
                 for row, hit, found in zip(split, flags, names, strict=True)
-            ], type=KIND)
+            ]
+
+        def look(column):
+            return pa.array([r for _, data in runs(column, PART_BYTES if single else 16 * PART_BYTES) for r in rows(data)], type=KIND)
 
         return look
 

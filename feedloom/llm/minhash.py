@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fresh, keep_rows, staged, text_udf, texts
+from feedloom.llm.common import fresh, keep_rows, runs, staged, text_udf
 from feedloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent of the union
@@ -30,7 +30,6 @@ BANDS = VALUES // ROWS
 #: asked for 102 are expected and fewer than 77 come up less than once in ten million pairs.
 POSSIBLE = 77
 BLOCK = 256
-CHUNK = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -93,13 +92,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches):
         known, signer = _Words(), Signer()
         for batch in batches:
-            data, at = texts(batch.column(1)), 0
-            while at < len(data):
-                to, held = at + 1, len(data[at])
-                while to < len(data) and held + len(data[to]) <= CHUNK:
-                    held += len(data[to])
-                    to += 1
-                sets = [shingle_set(t, known) for t in data[at:to]]
+            for at, data in runs(batch.column(1)):
+                sets = [shingle_set(t, known) for t in data]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 rows: list = [None] * len(sets)
                 if full:
@@ -107,10 +101,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         rows[i] = row.tobytes()
                 digests = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s ^ _M1).sum(dtype=np.uint64).view(np.int64))) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, to - at), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0).slice(at, len(data)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(rows, pa.binary()),
                 ], ["doc_id", "n", "f1", "f2", "sig"])
-                at = to
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(work, NODE_DDL)
 
@@ -145,13 +138,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     def sets(batches):
         known = _Words()
         for batch in batches:
-            size, one, two = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            found: dict[int, bytes] = {}
-            for i, (g, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(4)), strict=True)):
-                s = shingle_set(text, known)  # rows of one id may differ: the set must be the node's
-                if len(s) == size[i] and int(s.sum(dtype=np.uint64).view(np.int64)) == one[i] and int(_mixed(s ^ _M1).sum(dtype=np.uint64).view(np.int64)) == two[i]:
-                    found[g] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["g", "s"])
+            for at, data in runs(batch.column(4)):
+                node, size, one, two = (batch.column(k).slice(at, len(data)).to_pylist() for k in range(4))
+                found: dict[int, bytes] = {}
+                for i, text in enumerate(data):
+                    s = shingle_set(text, known)  # rows of one id may differ: the set must be the node's
+                    if len(s) == size[i] and int(s.sum(dtype=np.uint64).view(np.int64)) == one[i] and int(_mixed(s ^ _M1).sum(dtype=np.uint64).view(np.int64)) == two[i]:
+                        found[node[i]] = s.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["g", "s"])
 
     full = staged(read.mapInArrow(sets, "g bigint, s binary").dropDuplicates(["g"]), "sets")
 

@@ -21,14 +21,14 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_udf, texts
+from feedloom.llm.common import runs, text_udf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Weight of a piece: (its rank in the vocabulary + 2) to the power of minus this.
 POWER = 0.5
-#: Bytes of text whose units are drawn together; lattice edges a task keeps before it starts anew.
-CHUNK, KEEP_EDGES = 1 << 20, 3_000_000
+#: Lattice edges a task keeps before it starts anew.
+KEEP_EDGES = 3_000_000
 DRAW_BITS = 24
 #: Stands for a mark character that is part of a text.
 _OWN_MARK = 0x1FFFFF
@@ -258,16 +258,7 @@ def _sampler(pieces: Pieces, seed: int):
 
     def work(data: list[bytes], keys: pa.Array) -> list[np.ndarray]:
         numbers = np.array([0 if k is None else k for k in keys.to_pylist()], dtype=np.int64).view(np.uint64)
-        seeds = _mixed(numbers * _G1 + np.uint64(seed & (2**64 - 1)))
-        out, at = [], 0
-        while at < len(data):
-            to, held = at + 1, len(data[at])
-            while to < len(data) and held + len(data[to]) <= CHUNK:
-                held += len(data[to])
-                to += 1
-            out += lattices.sample([t.decode() for t in data[at:to]], seeds[at:to])
-            at = to
-        return out
+        return lattices.sample([t.decode() for t in data], _mixed(numbers * _G1 + np.uint64(seed & (2**64 - 1))))
 
     return work
 
@@ -281,7 +272,7 @@ def encode_column(text: Column, key: Column, pieces: Pieces, seed: int = 0) -> C
 
     def make():
         work = _sampler(shared.value, seed)
-        return lambda column, keys: _listed(work(texts(column), keys))
+        return lambda column, keys: pa.concat_arrays([_listed([]), *(_listed(work(data, keys.slice(at, len(data)))) for at, data in runs(column))])
 
     return text_udf(make, "array<int>")(text, key.cast("bigint"))
 
@@ -313,10 +304,12 @@ def encode_checked(docs: DataFrame, pieces: Pieces, key_col: str = "doc_id", tex
         work = _sampler(known, seed)
 
         def both(column, keys):
-            data = texts(column)
-            rows = work(data, keys)
-            same = pa.array([known.decode(r.tolist()) == t for r, t in zip(rows, data, strict=True)])
-            return pa.StructArray.from_arrays([_listed(rows), same], ["ids", "lossless"])
+            ids, same = [_listed([])], []
+            for at, data in runs(column):
+                rows = work(data, keys.slice(at, len(data)))
+                same += [known.decode(r.tolist()) == t for r, t in zip(rows, data, strict=True)]
+                ids.append(_listed(rows))
+            return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
         return both
 

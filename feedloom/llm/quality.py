@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_fold, staged, text_udf, texts
+from feedloom.llm.common import crc_fold, runs, staged, text_udf
 
 #: Features, kernel width (of standardised statistics), ridge weight and bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 6.0, 1e-3, 2000, 7
@@ -58,7 +58,7 @@ def statistics(text: bytes) -> list[float]:
 
 def statistics_column(text: Column) -> Column:
     def make():
-        return lambda column: pa.array([statistics(t) for t in texts(column)], type=pa.list_(pa.float64()))
+        return lambda column: pa.array([statistics(t) for _, data in runs(column) for t in data], type=pa.list_(pa.float64()))
 
     return text_udf(make, "array<double>")(text)
 
@@ -92,7 +92,7 @@ class QualityModel:
 
         def make():
             def work(column):
-                rows = [statistics(t) for t in texts(column)]
+                rows = [statistics(t) for _, data in runs(column) for t in data]
                 return pa.array(self.score(np.array(rows).reshape(-1, STATISTICS)))
 
             return work

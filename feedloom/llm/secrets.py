@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.automaton import compile_trees, parse, reverse
-from feedloom.llm.common import text_udf, texts
+from feedloom.llm.common import runs, text_udf, texts
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = BASE + EXTRA) -> Column
 
     def make():
         scanner = Scanner(rules)
-        return lambda column: pa.array([scanner.spans(t) for t in texts(column)], type=SPANS_KIND)
+        return lambda column: pa.array([scanner.spans(t) for _, data in runs(column) for t in data], type=SPANS_KIND)
 
     return text_udf(make, SPANS)(text)
 
