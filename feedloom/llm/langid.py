@@ -13,17 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_fold, text_udf, texts
+from feedloom.llm.common import crc_fold, runs, text_udf
 
 CLASSES, DISCOUNT = 64, 0.75
 #: Cross-entropies are gathered in bins of this width, up to the last bin, for the rejection limits.
 BIN_BITS, LAST_BIN, KEEP_SHARE = 0.02, 1000, 0.999
 UNDEFINED = "und"
-#: Bytes of text worked on at once.
-CHUNK = 1 << 20
 RESULT = "struct<lang:string,score:double,bits:double,rejected:boolean>"
 _KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("rejected", pa.bool_())])
 
@@ -51,9 +50,9 @@ def encode(data: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     parts, starts, at = [], [0], 0
     for text in data:
         seq = classes[np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)]
-        seq = np.concatenate([[0, 0], seq, [0]]).astype(np.int64)
+        seq = np.concatenate([[0, 0], seq, [0]]).astype(np.int32)
         keep = (seq[1:] > 0) | (seq[:-1] > 0)
-        seq = np.concatenate([[0, 0], seq[1:][keep]]) if keep.any() else seq[:0]
+        seq = np.concatenate([np.zeros(2, dtype=np.int32), seq[1:][keep]]) if keep.any() else seq[:0]
         if len(seq) > 2:
             parts.append((seq[:-2] * CLASSES + seq[1:-1]) * CLASSES + seq[2:])
             at += len(parts[-1])
@@ -122,23 +121,16 @@ class LanguageModel:
         every = np.arange(CLASSES**3)
         return np.column_stack([m.bits(every) for m in self.models]).astype(np.float32)
 
-    def entropies(self, data: list[bytes], classes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def entropies(self, column: pa.Array, classes: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Bits per character, a row for each text and a column for each language; nan without letters."""
-        out = np.full((len(data), len(self.names)), np.nan)
-        sizes = [len(t) for t in data]
-        at = 0
-        while at < len(data):
-            to, held = at + 1, sizes[at]
-            while to < len(data) and held + sizes[to] <= CHUNK:
-                held += sizes[to]
-                to += 1
-            codes, starts = encode(data[at:to], classes)
+        out = np.full((len(column), len(self.names)), np.nan)
+        for at, data in runs(column):
+            codes, starts = encode(data, classes)
             n = np.diff(starts)
             full = np.flatnonzero(n)
             if len(full):
                 sums = np.column_stack([np.add.reduceat(table[codes, k].astype(np.float64), starts[:-1][full]) for k in range(len(self.names))])
                 out[at + full] = sums / n[full][:, None]
-            at = to
         return out
 
     def predict_column(self, text: Column) -> Column:
@@ -154,7 +146,7 @@ class LanguageModel:
             classes, table = letter_classes(), self.table()
 
             def work(column):
-                found = self.entropies(texts(column), classes, table)
+                found = self.entropies(column, classes, table)
                 blank = np.isnan(found[:, 0])
                 safe = np.where(blank[:, None], 0.0, found)
                 best = safe.argmin(axis=1)
@@ -184,17 +176,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def count(batches):
         classes = letter_classes()
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            data = texts(batch.column(1))
-            for name in sorted(set(langs)):
-                total, held, size = np.zeros(CLASSES**3, dtype=np.int64), [], 0
-                for lang, text in [*zip(langs, data, strict=True), (None, b"")]:
-                    if lang == name:
-                        held.append(text)
-                        size += len(text)
-                    if held and (size > CHUNK or lang is None):
-                        total += np.bincount(encode(held, classes)[0], minlength=CLASSES**3)
-                        held, size = [], 0
+            for name in sorted(set(batch.column(0).to_pylist())):
+                total = np.zeros(CLASSES**3, dtype=np.int64)
+                for _, data in runs(batch.column(1).filter(pc.equal(batch.column(0), name))):
+                    total += np.bincount(encode(data, classes)[0], minlength=CLASSES**3)
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "code", "n"])
 
@@ -210,7 +195,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         classes, table = letter_classes(), plain.table()
         for batch in batches:
             own = np.array([names.index(x) if x in names else 0 for x in batch.column(0).to_pylist()])
-            bits = plain.entropies(texts(batch.column(1)), classes, table)[np.arange(len(own)), own]
+            bits = plain.entropies(batch.column(1), classes, table)[np.arange(len(own)), own]
             fine = ~np.isnan(bits)
             cell = own[fine] * (LAST_BIN + 1) + np.minimum(bits[fine] / BIN_BITS, LAST_BIN).astype(int)
             total = np.bincount(cell)
