@@ -2,13 +2,14 @@
 
 A document is its set of four-word shingles. Under each of ``HASHES`` hash functions both the
 smallest and the largest hashed shingle are kept; either agrees between two sets with a chance equal
-to their similarity, so ``2 * HASHES`` values cost ``HASHES`` evaluations. Bands of four values find
-candidates; signatures drop the hopeless ones; links are confirmed on full sets.
+to their similarity, so ``2 * HASHES`` values cost ``HASHES`` evaluations. The first
+``BANDS`` bands of four values find candidates; whole signatures drop the hopeless ones; links are confirmed on full sets.
 
 No group is paired out. Equal sets are one node. In a bucket every node is first tried against one
-hub; only buckets that then still hold several components are searched further, in blocks of
-bounded size, for pairs of different components that the signatures hold possible. Every pair of a
-bucket is thus confirmed, ruled out by signatures or known to be connected.
+hub; buckets that then still hold several components get a second hub, and only those that are open
+after it are searched further, in blocks of bounded size, for pairs of different components that the
+signatures hold possible. Every pair of a bucket is thus confirmed, ruled out by signatures or known
+to be connected.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from feedloom.llm.common import fresh, keep_rows, runs, staged, text_udf
 from feedloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent of the union
-HASHES, ROWS = 64, 4
+HASHES, ROWS, BANDS = 128, 4, 32
 VALUES = 2 * HASHES
-BANDS = VALUES // ROWS
 #: Equal values, of ``VALUES``, that a pair needs to be confirmed on full sets. At the similarity
-#: asked for 102 are expected and fewer than 77 come up less than once in ten million pairs.
-POSSIBLE = 77
+#: asked for 205 are expected and fewer than 182 come up about once in 5,000 pairs.
+POSSIBLE = 182
 BLOCK = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,15 +71,18 @@ class Signer:
         self.factor = rng.integers(1, 2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
-        """16 bits of every value, the minima and then the maxima, ``VALUES`` for each set; no set is empty."""
+        """16 bits of every value, minima and maxima by turns, ``VALUES`` for each set; no set is empty.
+
+        Neighbours are a minimum and a maximum of different functions, so a band holds two of each.
+        """
         flat = np.concatenate(sets)
         starts = np.cumsum([0, *map(len, sets[:-1])])
         out = np.empty((len(sets), VALUES), dtype=np.uint64)
         work = np.empty_like(flat)
         for k in range(HASHES):
             np.multiply(flat ^ self.turn[k], self.factor[k], out=work)
-            out[:, k] = np.minimum.reduceat(work, starts)
-            out[:, HASHES + (k * 5 + 1) % HASHES] = np.maximum.reduceat(work, starts)
+            out[:, 2 * k] = np.minimum.reduceat(work, starts)
+            out[:, (2 * k + 3) % VALUES] = np.maximum.reduceat(work, starts)
         return (_mixed(out) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -129,7 +132,7 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The ``a, b`` pairs whose full sets are similar enough. Only texts of nodes in a pair are read again into sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "top", "n", "f1", "f2"), "g")
+    wanted = pairs.select(F.col("a").alias("g")).distinct().unionByName(pairs.select(F.col("b").alias("g")).distinct()).distinct().join(nodes.select("g", "top", "n", "f1", "f2"), "g")
     wanted = staged(wanted, "wanted")
     own, taken = fresh("__id", docs.columns), fresh("__text", docs.columns)
     source = docs.select(F.col(id_col).cast("bigint").alias(own), F.col(text_col).alias(taken))
@@ -172,16 +175,40 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", _agreement(F.col("sa"), F.col("sb")).alias("same")).filter(F.col("same") >= POSSIBLE).select("a", "b")
 
 
+def _hubs(members: DataFrame, nodes: DataFrame, labels: None, percent: int) -> DataFrame:
+    """Every member of a bucket with its hub: the one that shares most with others over all bands.
+
+    Copies of a document resemble it more than each other, so it meets more of them in more buckets.
+    """
+    hub = members.groupBy("band", "key").agg(F.max(F.struct("weight", "g"))["g"].alias("hub"))
+    return members.join(hub, ["band", "key"]).filter("g <> hub").select(F.col("g").alias("a"), F.col("hub").alias("b"))
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and the buckets with several: size, commonest component and its size."""
+    known = members.join(labels.select(F.col("node").alias("g"), "component"), "g", "left").withColumn("component", F.coalesce("component", "g"))
+    shares = known.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
+    buckets = shares.groupBy("band", "key").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("k"), F.max("m").alias("m"))
+    return known, buckets.filter("k > m")
+
+
+def _second_hubs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """In buckets with several components, all members against the most central one outside the commonest."""
+    known, buckets = _open_buckets(members, labels)
+    inside = staged(known.join(buckets.select("band", "key", "main"), ["band", "key"]), "open")
+    hub = inside.filter("component <> main").groupBy("band", "key").agg(F.max(F.struct("weight", "g", "component")).alias("h"))
+    met = inside.join(hub, ["band", "key"]).filter(F.col("component") != F.col("h.component"))
+    return met.select(F.col("g").alias("a"), F.col("h.g").alias("b"))
+
+
 def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Possible pairs of different components in a bucket.
 
     A bucket's commonest component needs no search within itself: the others, in blocks, meet
     all members, in blocks. A block is bounded, so a bucket of any size is many small tasks.
     """
-    known = members.join(labels.select(F.col("node").alias("g"), "component"), "g", "left").withColumn("component", F.coalesce("component", "g"))
-    shares = known.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
-    buckets = shares.groupBy("band", "key").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("k"), F.max("m").alias("m"))
-    buckets = buckets.filter("k > m").select("band", "key", "main", F.ceil(F.col("k") / BLOCK).alias("all_blocks"), F.ceil((F.col("k") - F.col("m")) / BLOCK).alias("other_blocks"))
+    known, buckets = _open_buckets(members, labels)
+    buckets = buckets.select("band", "key", "main", F.ceil(F.col("k") / BLOCK).alias("all_blocks"), F.ceil((F.col("k") - F.col("m")) / BLOCK).alias("other_blocks"))
     inside = known.join(buckets, ["band", "key"]).join(nodes.select("g", "n", "sig"), "g")
     spot = F.xxhash64("g", "band")
     every = inside.select("band", "key", "g", "component", "n", "sig", F.lit(False).alias("other"),
@@ -194,10 +221,13 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
         g, c, n = (group.column(x).to_numpy() for x in ("g", "component", "n"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
         one, two = np.flatnonzero(other), np.flatnonzero(~other)
+        bands = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS)
+        here = int(group.column("band")[0].as_py()) if len(g) else 0
         a, b = [], []
         for i in one:
             fit = two[(c[two] != c[i]) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)]
             fit = fit[(sig[fit] == sig[i]).sum(axis=1) >= POSSIBLE]
+            fit = fit[(bands[fit] == bands[i]).all(axis=2).argmax(axis=1) == here]  # a pair counts in its first band
             a.append(np.full(len(fit), g[i]))
             b.append(g[fit])
         none = np.zeros(0, dtype=np.int64)
@@ -221,16 +251,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = staged(base.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("top"), F.first("sig").alias("sig"))
                    .withColumn("g", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("g", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS) for b in range(BANDS)])).alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min_by("g", F.xxhash64("g", "band")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = staged(rows.join(buckets.drop("k"), ["band", "key"]), "members")
-    first = staged(_possible(members.filter("g <> hub").select(F.col("g").alias("a"), F.col("hub").alias("b")), nodes, percent), "pairs")
-    links = staged(_linked(first, nodes, docs, id_col, text_col, percent), "links")
-    more = _rest(members.drop("hub"), nodes, components(links), percent).join(first, ["a", "b"], "left_anti")
-    more = staged(more, "pairs")
-    links = links.unionByName(_linked(more, nodes, docs, id_col, text_col, percent))
-    links = staged(links, "links")
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    members = staged(rows.join(sizes, ["band", "key"]), "members")
+    central = members.groupBy("g").agg(F.sum("k").alias("weight"))
+    members = staged(members.drop("k").join(central, "g"), "members")
+    tried, links = None, None
+    for search in (_hubs, _second_hubs, _rest):
+        pairs = search(members, nodes, None if links is None else components(links), percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(_possible(pairs, nodes, percent) if search is not _rest else pairs, "pairs")
+        new = _linked(pairs, nodes, docs, id_col, text_col, percent)
+        links = staged(new if links is None else links.unionByName(new), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
     found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("links"))
+    degree = links.select(F.col("a").alias("g")).unionByName(links.select(F.col("b").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("g", "n", "f1", "f2", "top").join(found.withColumnRenamed("node", "g"), "g", "left").join(degree, "g", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "g")), "named")
     least = named.groupBy("component").agg(F.min("top").alias("component_id"))
