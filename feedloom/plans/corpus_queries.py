@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions.arrays import let
+from feedloom.functions.arrays import let, pad_or_clip
 from feedloom.functions.text import answer_aliases, normalize_url, split_punct, split_words
 from feedloom.operators import corpus as C
 from feedloom.operators import vocabulary as V
@@ -88,7 +88,7 @@ UNION ALL SELECT token, '[UNK]' FROM ct WHERE length(token) > 400""")
 def _(t):
     """The way taken when the vocabulary is too large to ship."""
     words, vocab = toy_vocab(t)
-    return V.wordpiece(words, vocab, shipped=0).select("word", F.array_join("pieces", " ").alias("pieces"))
+    return V.wordpiece(words, vocab).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
 ESCAPED_SQL = r"""r AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS x FROM documents),
@@ -266,16 +266,16 @@ def _(t):
 
 
 @check("factorization_order", sql=f"""
-WITH {SEQ_SQL}, k AS (SELECT doc_id, seg, tokens FROM sq WHERE len(tokens) = 64),
+WITH {SEQ_SQL}, k AS (SELECT doc_id, seg, list_concat(tokens, list_transform(range(64 - len(tokens)), lambda z: '[PAD]')) AS tokens FROM sq),
 o AS (SELECT doc_id, seg, list(i ORDER BY {h_sql('doc_id * 10000 + seg', 'i', 77)}, i) AS sg FROM k, range(16) r(i) GROUP BY 1, 2),
-p AS (SELECT k.doc_id, k.seg, j, (j // 16) * 16 + sg[(j % 16 + 1)::INT] AS ord, tokens[(j + 1)::INT] NOT IN ('[CLS]', '[SEP]') AND j % 3 <> 0 AS pred
+p AS (SELECT k.doc_id, k.seg, j, (j // 16) * 16 + sg[(j % 16 + 1)::INT] AS ord, tokens[(j + 1)::INT] NOT IN ('[CLS]', '[SEP]', '[PAD]') AND j % 3 <> 0 AS pred
   FROM k JOIN o ON o.doc_id = k.doc_id AND o.seg = k.seg, range(64) r(j)),
 f AS (SELECT *, CASE WHEN pred THEN ord ELSE -2 END AS t, CASE WHEN pred THEN ord ELSE -1 END AS own FROM p)
 SELECT a.doc_id, a.seg, a.j::INT AS j, any_value(a.ord)::INT AS ord, count(*) FILTER (WHERE a.own > b.t) AS sees
 FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.seg = b.seg GROUP BY 1, 2, 3""")
 def _(t):
-    rows = sequences(t).filter(F.size("tokens") == 64)
-    predicted = F.transform("tokens", lambda x, i: ~x.isin(C.CLS, C.SEP) & (i % 3 != 0))
+    rows = sequences(t).withColumn("tokens", pad_or_clip("tokens", F.lit(64), F.lit("[PAD]")))
+    predicted = F.transform("tokens", lambda x, i: ~x.isin(C.CLS, C.SEP, "[PAD]") & (i % 3 != 0))
     rows = rows.select("doc_id", "seg", C.factorization_order(64, 16, row_key(), 77).alias("o"), predicted.alias("p"))
     rows = rows.select("doc_id", "seg", "o", C.attention_mask(F.col("o"), F.col("p")).alias("m"))
     rows = rows.select("doc_id", "seg", F.posexplode(F.arrays_zip("o", "m")).alias("j", "e"))

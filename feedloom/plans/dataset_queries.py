@@ -380,13 +380,13 @@ def _(t):
 
 @check("bucket_fixed_lengths", sql=f"""
 WITH d AS (SELECT doc_id, list_transform({WORDS}, lambda w: length(w)) AS x FROM documents),
-e AS (SELECT doc_id, x, CASE WHEN len(x) < 33 THEN 0 WHEN len(x) < 129 THEN 1 ELSE 2 END AS bucket FROM d WHERE len(x) <= 512),
-f AS (SELECT *, [32, 128, 512][bucket + 1] AS w, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS k FROM e)
+e AS (SELECT doc_id, x, CASE WHEN len(x) < 33 THEN 0 WHEN len(x) < 129 THEN 1 WHEN len(x) < 513 THEN 2 ELSE 3 END AS bucket FROM d),
+f AS (SELECT *, coalesce([32, 128, 512][bucket + 1], len(x)) AS w, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS k FROM e)
 SELECT doc_id, bucket, k // 16 AS batch_in_bucket,
   array_to_string(list_concat(x, list_transform(range(w - len(x)), lambda z: 0)), ',') AS ids FROM f""")
 def _(t):
     ids = F.transform(words(), lambda w: F.length(w))
-    rows = t.documents.select("doc_id", ids.alias("ids")).filter(F.size("ids") <= 512)
+    rows = t.documents.select("doc_id", ids.alias("ids"))
     out = B.bucket_fixed_lengths(rows, "ids", [32, 128, 512], 16, ["doc_id"])
     return out.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 

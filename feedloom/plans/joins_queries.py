@@ -51,11 +51,14 @@ def _(t):
 @check("join_annotations", sql="""
 WITH b AS (SELECT o_custkey AS image_id, o_orderkey, o_orderpriority AS cat FROM orders WHERE o_custkey % 3 <> 0),
 c AS (SELECT s_suppkey * 7 AS image_id, s_name AS caption FROM supplier),
-g AS (SELECT image_id, array_to_string(list(o_orderkey || ':' || coalesce(name, '?') ORDER BY o_orderkey), ',') AS boxes, count(*) AS n
-  FROM b LEFT JOIN (VALUES ('1-URGENT', 'urgent'), ('2-HIGH', 'high'), ('5-LOW', 'low')) m(id, name) ON cat = id GROUP BY 1),
-h AS (SELECT image_id, array_to_string(list(caption ORDER BY caption), ',') AS captions FROM c GROUP BY 1)
-SELECT c_custkey AS image_id, coalesce(boxes, '') AS boxes, coalesce(captions, '') AS captions FROM customer
-LEFT JOIN g ON g.image_id = c_custkey LEFT JOIN h ON h.image_id = c_custkey""")
+bn AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY o_orderkey) - 1) // 10 AS part FROM b),
+cn AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY caption) - 1) // 10 AS part FROM c),
+g AS (SELECT image_id, part, array_to_string(list(o_orderkey || ':' || coalesce(name, '?') ORDER BY o_orderkey), ',') AS boxes
+  FROM bn LEFT JOIN (VALUES ('1-URGENT', 'urgent'), ('2-HIGH', 'high'), ('5-LOW', 'low')) m(id, name) ON cat = id GROUP BY 1, 2),
+h AS (SELECT image_id, part, array_to_string(list(caption ORDER BY caption), ',') AS captions FROM cn GROUP BY 1, 2),
+l AS (SELECT * FROM g FULL JOIN h USING (image_id, part))
+SELECT c_custkey AS image_id, coalesce(part, 0)::INT AS part, coalesce(boxes, '') AS boxes, coalesce(captions, '') AS captions
+FROM customer LEFT JOIN l ON l.image_id = c_custkey""")
 def _(t):
     categories = t.spark.createDataFrame(
         [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("5-LOW", "low")], "category_id string, category string"
@@ -65,13 +68,13 @@ def _(t):
     )
     captions = t.supplier.select((F.col("s_suppkey") * 7).alias("image_id"), F.col("s_name").alias("caption"))
     images = t.customer.select(F.col("c_custkey").alias("image_id"))
-    out = J.join_annotations(images, boxes, captions, categories, ["o_orderkey"])
+    out = J.join_annotations(images, boxes, captions, categories, ["o_orderkey"], most=10)
     label = lambda e: F.concat_ws(":", e["o_orderkey"].cast("string"), F.coalesce(e["category"], F.lit("?")))
     empty = lambda c: F.coalesce(c, F.lit(""))
-    return out.filter("part = 0").select(
-        "image_id", empty(F.array_join(F.transform("boxes", label), ",")).alias("boxes"),
+    return out.select(
+        "image_id", "part", empty(F.array_join(F.transform("boxes", label), ",")).alias("boxes"),
         empty(F.array_join(F.transform("captions", lambda e: e["caption"]), ",")).alias("captions"),
-    ).unionByName(out.filter("part > 0").select("image_id", F.lit("").alias("boxes"), F.lit("").alias("captions")))
+    )
 
 
 @check("url_join_stories", sql=f"""

@@ -69,16 +69,16 @@ def read_delimited(
 ) -> DataFrame:
     """Text split at a (multi-character) separator, as strings under fixed names.
 
-    Undecodable bytes are dropped.
+    Undecodable bytes are dropped. ``skip_header`` leaves out the first line of every file, by its
+    place: later lines that read the same are data.
     """
-    lines = spark.read.format("binaryFile").load(path) if False else spark.read.text(path)
+    lines = spark.read.text(path)
+    if skip_header:
+        placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+        heads = placed.filter("block = 0").groupBy("file").agg(F.min("nth").alias("nth"))
+        lines = placed.join(heads, ["file", "nth"], "left_anti").select("value")
     dropped = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
     clean = lines.select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(dropped).alias("value"))
-    if skip_header:
-        header = separator.join(names)
-        first = clean.limit(1).collect()
-        header = first[0][0] if first else header
-        clean = clean.filter(F.col("value") != header)
     fields = F.split("value", "\\Q" + separator + "\\E", len(names))
     return clean.select(*[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)])
 

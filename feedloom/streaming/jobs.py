@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,14 +62,25 @@ def latest_result(aggregated: DataFrame, out: str, checkpoint: str) -> DataFrame
     Each batch writes its own folder; the highest batch number is the current state.
     """
     spark = aggregated.sparkSession
-    done = []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:010d}")
-        done.append(number)
 
     drain(aggregated, checkpoint, "complete", write)
-    return spark.read.parquet(f"{out}/batch={max(done):010d}")
+    last = last_batch(spark, out)
+    if last is None:
+        return spark.createDataFrame([], aggregated.schema)
+    return spark.read.parquet(f"{out}/batch={last:010d}")
+
+
+def last_batch(spark: SparkSession, out: str) -> int | None:
+    """The highest batch written below a folder, now or by an earlier run; None before the first."""
+    try:
+        return spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def count_windows(stream: DataFrame, key: str, order_by: str, size: int, out: str, checkpoint: str) -> int | None:
@@ -78,7 +90,6 @@ def count_windows(stream: DataFrame, key: str, order_by: str, size: int, out: st
     fills a whole batch does not end up in one task. Returns the last batch number, if any.
     """
     spark = stream.sparkSession
-    done = []
     empty = f"{key} {stream.schema[key].dataType.simpleString()}, seen bigint"
 
     def write(batch: DataFrame, number: int) -> None:
@@ -90,10 +101,9 @@ def count_windows(stream: DataFrame, key: str, order_by: str, size: int, out: st
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("more")).join(seen, key, "full")
         counts = counts.select(key, (F.coalesce("seen", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("seen"))
         counts.write.mode("overwrite").parquet(f"{out}/state/{number}")
-        done.append(number)
 
     drain(stream, checkpoint, "append", write)
-    return max(done, default=None)
+    return last_batch(spark, f"{out}/rows")
 
 
 def emitted_windows(spark: SparkSession, out: str, key: str, size: int, last_batch: int, flush: bool = False) -> DataFrame:

@@ -53,10 +53,9 @@ def test_vocabulary_and_round_trip(spark):
 def test_wordpiece_values(spark):
     vocab = spark.createDataFrame([(t,) for t in ("un", "##aff", "##able", "runn", "##ing")], "token string")
     words = spark.createDataFrame([("unaffable",), ("running",), ("unwanted",), ("u" * 401,)], "word string")
-    for shipped in (10, 0):
-        got = {r["word"]: r["pieces"] for r in V.wordpiece(words, vocab, shipped=shipped).collect()}
-        assert got["unaffable"] == ["un", "##aff", "##able"] and got["running"] == ["runn", "##ing"]
-        assert got["unwanted"] == ["[UNK]"] and got["u" * 401] == ["[UNK]"]
+    got = {r["word"]: r["pieces"] for r in V.wordpiece(words, vocab).collect()}
+    assert got["unaffable"] == ["un", "##aff", "##able"] and got["running"] == ["runn", "##ing"]
+    assert got["unwanted"] == ["[UNK]"] and got["u" * 401] == ["[UNK]"]
 
 
 def test_grams(spark):
