@@ -21,6 +21,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def totals_before(sizes: Column) -> Column:
+    """What lies before each item, and the total at the end: [2, 5] gives [0, 2, 7]."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def visited(count: Column, kind: str, visit) -> Column:
+    """The rows of the places reached from place 0 by following ``next``, in order.
+
+    ``visit(place)`` is a struct of type ``kind`` for a place below ``count``, with an int field
+    ``next`` that is larger than the place; it is only worked out for places that are reached.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("rows"))
+
+    def step(state, place):
+        def move(row):
+            return F.struct(row["next"].alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+        return F.when(state["at"] == place, let(visit(place).cast(kind), move)).otherwise(state)
+
+    places = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), F.lit(1), count)
+    return F.aggregate(places, none, step, lambda state: state["rows"])
+
+
 def pad_or_clip(a, size, value=0) -> Column:
     """Array of exactly ``size`` items: cut at the end or filled with ``value``."""
     a = _c(a)

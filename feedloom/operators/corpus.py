@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.arrays import let, pad_or_clip
-from feedloom.functions.hashing import MODULUS, draw, mix, unit
+from feedloom.functions.arrays import let, pad_or_clip, totals_before, visited
+from feedloom.functions.hashing import draw, mix, unit
 from feedloom.functions.text import normalize_answer, pair_lengths, split_words, truncate_pair_ends
 from feedloom.operators.ordered import with_position, with_running
 from feedloom.operators.timelines import best_context, stride_windows
@@ -19,39 +19,42 @@ from feedloom.session import staged
 CLS, SEP, MASK, PAD = "[CLS]", "[SEP]", "[MASK]", "[PAD]"
 
 
-def mix_int(a: int, b: int, seed: int) -> int:
-    """``functions.hashing.mix`` on plain integers, for steps that run in Python."""
-    linear = ((a % MODULUS) * 48271 + (b % MODULUS) * 69621 + seed * 16807 + 12345) % MODULUS
-    return ((linear * linear) % MODULUS * 48271 + linear + 11) % MODULUS
+# --- sentence pairs ------------------------------------------------------------------------
 
 
-# --- sentence pairs ------------------------------------------------------------------------
+CHUNK = "struct<a_from: int, a_to: int, b_to: int, is_random: boolean, wanted: int, next: int>"
 
 
-def _chunks(doc: int, sizes: Sequence[int], limit: int, short_share: float, seed: int):
-    """Chunk plan of one document: (a_from, a_to, b_to, random, wanted) in sentence numbers.
+def chunk_plan(sizes: Column, salt: Column, limit: int, short_share: float, seed: int) -> Column:
+    """The chunks of one document, from its sentence lengths alone.
 
-    Only the sentence lengths are needed. ``b_to`` closes an actual next part; for a random one
-    the sentences after ``a_to`` go back to the pool and ``wanted`` tokens are drawn elsewhere.
+    A chunk is the shortest run of sentences from its first one that holds the target, or all that
+    are left. Its first ``a_to - a_from`` sentences are part a; ``b_to`` closes an actual next part.
+    For a random next part ``wanted`` tokens are drawn elsewhere and the sentences after ``a_to``
+    start the next chunk. Draws are functions of the document and the chunk's first sentence.
     """
-    counter = iter(range(1, 1 << 31))
-    chance = lambda: mix_int(doc, next(counter), seed) / MODULUS
-    pick = lambda low, high: low + mix_int(doc, next(counter), seed) % (high - low + 1)
-    target = pick(2, limit) if chance() < short_share else limit
-    first, length, i = 0, 0, 0
-    while i < len(sizes):
-        length += sizes[i]
-        if i == len(sizes) - 1 or length >= target:
-            count = i - first + 1
-            taken = pick(1, count - 1) if count >= 2 else 1
-            random_next = count == 1 or chance() < 0.5
-            a_to = first + taken
-            wanted = target - sum(sizes[first:a_to])
-            yield first, a_to, i + 1, random_next, wanted
-            if random_next:
-                i = a_to - 1
-            first, length = i + 1, 0
-        i += 1
+    short = 2 + draw(F.lit(limit - 1), salt, F.lit(-2), seed)
+    target = F.when(unit(salt, F.lit(-1), seed) < short_share, short).otherwise(F.lit(limit)).cast("int")
+
+    def plan(x):
+        before, target = x["before"], x["target"]
+        sentences = F.size(before) - 1
+        held = lambda lo, hi: F.get(before, hi) - F.get(before, lo)
+
+        def visit(first):
+            under = let(F.get(before, first), lambda base: F.size(F.filter(before, lambda total, i: (i > first) & (total - base < target))))
+            return let(F.least(under + 1, sentences - first), lambda count: cut(first, count))
+
+        def cut(first, count):
+            part = 1 + F.when(count > 1, draw(count - 1, salt, first, seed + 5)).otherwise(F.lit(0)).cast("int")
+            elsewhere = (count == 1) | (unit(salt, first, seed + 6) < 0.5)
+            return F.struct(
+                first.alias("a_from"), (first + part).alias("a_to"), (first + count).alias("b_to"), elsewhere.alias("is_random"),
+                (target - held(first, first + part)).alias("wanted"), (first + F.when(elsewhere, part).otherwise(count)).alias("next"))
+
+        return visited(sentences, CHUNK, visit)
+
+    return let(F.struct(totals_before(sizes).alias("before"), target.alias("target")), plan)
 
 
 def sentence_pairs(docs: DataFrame, key: str, sentences: str, max_length: int, seed: int, short_share: float = 0.1, copies: int = 1) -> DataFrame:
@@ -64,25 +67,14 @@ def sentence_pairs(docs: DataFrame, key: str, sentences: str, max_length: int, s
     limit = max_length - 3
     numbered = staged(with_position(docs.filter(F.size(sentences) > 0).select(key, F.col(sentences).alias("s")), [key], name="doc_no"), "docs")
     total = numbered.count()
-    sizes = F.transform("s", lambda x: F.size(x))
-    copied = numbered.select(key, "doc_no", sizes.alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, no, c, n, *chunk)
-                for k, no, c, s in zip(batch[key], batch["doc_no"], batch["copy"], batch["sizes"])
-                for n, chunk in enumerate(_chunks(int(no) * copies + int(c), list(s), limit, short_share, seed))
-            ]
-            yield pd.DataFrame(rows, columns=[key, "doc_no", "copy", "chunk", "a_from", "a_to", "b_to", "is_random", "wanted"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, doc_no bigint, copy int, chunk int, a_from int, a_to int, b_to int, is_random boolean, wanted int"
-    chunks = staged(copied.mapInPandas(plan, schema), "chunks")
+    copied = numbered.select(key, "doc_no", F.transform("s", lambda x: F.size(x)).alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    salt = F.col("doc_no") * copies + F.col("copy")
+    plan = chunk_plan(F.col("sizes"), salt, limit, short_share, seed)
+    chunks = copied.select(key, "doc_no", "copy", F.posexplode(plan).alias("chunk", "c"))
+    chunks = staged(chunks.select(key, "doc_no", "copy", "chunk", "c.*").drop("next"), "chunks")
     own = numbered.select("doc_no", "s")
     part = lambda s, lo, hi: F.flatten(F.slice(s, lo + 1, hi - lo))
     rows = chunks.join(own, "doc_no").withColumn("a", part(F.col("s"), F.col("a_from"), F.col("a_to")))
-    salt = F.col("doc_no") * copies + F.col("copy")
     actual = rows.filter(~F.col("is_random")).withColumn("b", part(F.col("s"), F.col("a_to"), F.col("b_to")))
     other = (F.col("doc_no") + 1 + draw(F.lit(max(total - 1, 1)), salt, F.col("chunk"), seed + 1)) % total
     wanted = rows.filter("is_random").drop("s").withColumn("other", other)
@@ -156,47 +148,30 @@ def masked_lm(rows: DataFrame, keys: Sequence[str], tokens: str, positions: str,
     return out.select(*keys, "pos", "label", token.alias("token"))
 
 
-def _ngram_positions(spans, count: int, most: int, row: int, seed: int) -> list[int]:
-    """Positions of non-overlapping runs of whole words with at most ``count`` tokens.
+def ngram_positions(spans: str, count: Column, most: int, key: Column, seed: int) -> Column:
+    """Sorted positions of non-overlapping runs of up to ``most`` neighbouring words, ``count`` tokens at most.
 
-    Run lengths follow weights 1, 1/2, 1/3, ...
+    All runs of a row are put in a weighted random order (weight 1/n for n words: the exponential
+    draw of a run is multiplied by n, the smallest comes first); then every run is taken that still
+    fits and meets no run taken before.
     """
-    counter = iter(range(1, 1 << 31))
-    pools = {}
-    for n in range(1, most + 1):
-        runs = [(spans[i][0], spans[i + n - 1][1]) for i in range(len(spans) - n + 1)
-                if all(spans[j][1] == spans[j + 1][0] for j in range(i, i + n - 1))]
-        pools[n] = sorted(runs, key=lambda r: mix_int(row, r[0] * (most + 1) + n, seed))
-    total = sum(1.0 / n for n in pools)
-    taken: set[int] = set()
-    while len(taken) < count and any(pools.values()):
-        u, size = mix_int(row, next(counter), seed + 1) / MODULUS * total, most
-        for n in pools:
-            u -= 1.0 / n
-            if u < 0:
-                size = n
-                break
-        if len(taken) + size > count:
-            pools[size] = []
-        elif pools[size]:
-            run = set(range(*pools[size].pop()))
-            if len(taken) + len(run) <= count and not run & taken:
-                taken |= run
-    return sorted(taken)
-
+    def of_size(words, n):
+        def run(i):
+            first, last = F.get(words, i), F.get(words, i + n - 1)
+            inside = F.aggregate(F.slice(words, i + 1, F.lit(n)), F.lit(0), lambda acc, w: acc + w["end"] - w["begin"])
+            when = -F.log(1 - unit(key, first["begin"] * (most + 1) + n, seed)) * n
+            return F.struct(when.alias("when"), first["begin"].alias("begin"), last["end"].alias("end"), (inside == last["end"] - first["begin"]).alias("whole"))
 
-def ngram_positions(spans: str, count: Column, most: int, key: Column, seed: int) -> Column:
-    """Sorted positions of masked word runs of up to ``most`` words per row."""
+        starts = F.slice(F.sequence(F.lit(0), F.size(words)), F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.filter(F.transform(starts, run), lambda r: r["whole"])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pick(begins: pd.Series, ends: pd.Series, counts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([
-            _ngram_positions(list(zip(map(int, b), map(int, e))), int(n), most, int(k), seed)
-            for b, e, n, k in zip(begins, ends, counts, keys)
-        ])
+    def take(taken, r):
+        meets = F.exists(taken, lambda p: (p >= r["begin"]) & (p < r["end"]))
+        fits = F.size(taken) + r["end"] - r["begin"] <= count
+        return F.when(fits & ~meets, F.concat(taken, F.sequence(r["begin"], r["end"] - 1))).otherwise(taken)
 
-    side = lambda name: F.transform(spans, lambda s: s[name])
-    return pick(side("begin"), side("end"), count, key)
+    runs = let(F.col(spans), lambda words: F.array_sort(F.concat(*[of_size(words, n) for n in range(1, most + 1)])))
+    return F.array_sort(F.aggregate(runs, F.expr("cast(array() as array<int>)"), take))
 
 
 def span_mask(spans: Column, tokens: Column, most: int) -> Column:
@@ -516,52 +491,45 @@ def qa_features(df: DataFrame, keys: Sequence[str], query: str, tokens: str, sta
     )
 
 
-def _pack(paragraphs: Sequence[Sequence[int]], taken: int, max_tokens: int, max_global: int, stride: int):
-    """(first paragraph, stop paragraph, stop sentence) of each feature row of a document."""
-    head = 1 + taken
-    begin = 0
-    while begin < len(paragraphs):
-        used, sentences, stop = 0, 0, None
-        for p in range(begin, len(paragraphs)):
-            for s, size in enumerate(paragraphs[p]):
-                if taken + used + size + 1 >= max_tokens or head + sentences >= max_global:
-                    stop = (p, s)
-                    break
-                used, sentences = used + size, sentences + 1
-            if stop:
-                break
-        yield begin, *(stop or (len(paragraphs), 0))
-        if not stop or stride <= 0:
-            return
-        shift, nxt = sum(paragraphs[begin]), begin + 1
-        # Only paragraphs already read for this row may be skipped.
-        while nxt <= stop[0] and shift + sum(paragraphs[nxt]) <= stride:
-            shift, nxt = shift + sum(paragraphs[nxt]), nxt + 1
-        begin = nxt
+FEATURE = "struct<first: int, count: int, next: int>"
 
 
 def evidence_features(df: DataFrame, keys: Sequence[str], paragraphs: str, question_size: str, max_tokens: int, max_global: int, stride: int) -> DataFrame:
     """(keys, stride_index, sentences): documents packed whole sentence by whole sentence.
 
-    ``paragraphs`` holds paragraph > sentence > tokens. A row ends before the sentence that would
-    go over the token or global-token limit; the next starts after the paragraphs that fit the
-    stride. Only sentence sizes are sent to the packing step.
+    ``paragraphs`` holds paragraph > sentence > tokens. A row begins with a paragraph and ends
+    before the sentence that would go over the token or global-token limit; the next begins after
+    the paragraphs read that fit the stride, one at least. The last row reaches the end of the
+    document, unless a ``stride`` of 0 keeps the first row only. With the totals before each sentence both
+    ends of a row are counts of totals below a bound.
     """
-    sizes = F.transform(paragraphs, lambda p: F.transform(p, lambda s: F.size(s)))
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def plan(sizes: pd.Series, taken: pd.Series) -> pd.Series:
-        return pd.Series([
-            [list(map(int, r)) for r in _pack([[int(x) for x in p] for p in doc], int(n), max_tokens, max_global, stride)]
-            for doc, n in zip(sizes, taken)
-        ])
-
-    rows = df.select(*keys, F.col(paragraphs).alias("_p"), plan(sizes, F.col(question_size)).alias("_plan"))
-    rows = rows.select(*keys, "_p", F.posexplode("_plan").alias("stride_index", "r"))
-    first, last, cut = (F.get("r", F.lit(i)) for i in range(3))
-    whole = F.flatten(F.slice("_p", first + 1, last - first))
-    rest = F.when(cut > 0, F.slice(F.get("_p", last), F.lit(1), cut)).otherwise(F.expr("cast(array() as array<array<string>>)"))
-    return rows.select(*keys, "stride_index", F.concat(whole, rest).alias("sentences"))
+    sentences = F.flatten(F.col(paragraphs))
+    facts = F.struct(
+        totals_before(F.transform(sentences, lambda s: F.size(s))).alias("before"),
+        totals_before(F.transform(paragraphs, lambda p: F.size(p))).alias("starts"),
+        F.col(question_size).alias("taken"))
+
+    def plan(x):
+        before, starts, taken = x["before"], x["starts"], x["taken"]
+
+        def visit(paragraph):
+            return let(F.get(starts, paragraph), lambda first: let(F.get(before, first), lambda base: filled(paragraph, first, base)))
+
+        def filled(paragraph, first, base):
+            room = lambda total, i: (i > first) & (total - base < max_tokens - 1 - taken) & (i - first < max_global - taken)
+            return let(F.size(F.filter(before, room)), lambda count: let(
+                F.size(F.filter(starts, lambda s: s <= first + count)), lambda read: row(paragraph, first, base, count, read)))
+
+        def row(paragraph, first, base, count, read):
+            near = F.size(F.filter(starts, lambda s, q: (q <= read) & (F.get(before, s) <= base + stride))) - 1
+            over = (first + count >= F.size(before) - 1) | F.lit(stride <= 0)
+            onward = F.when(over, F.size(starts)).otherwise(F.greatest(paragraph + 1, near))
+            return F.struct(first.alias("first"), count.alias("count"), onward.alias("next"))
+
+        return visited(F.size(starts) - 1, FEATURE, visit)
+
+    rows = df.select(*keys, sentences.alias("_s"), F.posexplode(let(facts, plan)).alias("stride_index", "_r"))
+    return rows.select(*keys, "stride_index", F.slice("_s", F.col("_r.first") + 1, F.col("_r.count")).alias("sentences"))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))

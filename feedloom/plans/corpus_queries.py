@@ -370,7 +370,25 @@ def paragraphs(t):
     return t.qa.select("qid", F.transform(lines, sentence).alias("p"), (1 + F.col("qid") % 5).cast("int").alias("q"))
 
 
-@check("evidence_features")
+@check("evidence_features", "qa", r"""
+WITH RECURSIVE pg AS (SELECT qid, (1 + qid % 5)::INT AS q, list_filter(string_split(context, chr(10)), lambda s: trim(s) <> '') AS l FROM qa),
+ln AS (SELECT qid, q, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS line FROM pg),
+st AS (SELECT qid, p, generate_subscripts(x, 1) AS j, unnest(x) AS sent FROM (SELECT qid, p, string_split(regexp_replace(line, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS x FROM ln)),
+wd AS (SELECT qid, p, j, list_filter(regexp_split_to_array(sent, '\s+'), lambda w: w <> '') AS w FROM st),
+sn AS (SELECT qid, p, w, row_number() OVER o - 1 AS k, sum(len(w)) OVER o AS upto FROM wd WHERE len(w) > 0 WINDOW o AS (PARTITION BY qid ORDER BY p, j)),
+ap AS (SELECT qid, q, p FROM ln UNION ALL SELECT qid, q, len(l) FROM pg WHERE len(l) > 0),
+pr AS (SELECT qid, q, p, coalesce(sum(c) OVER o, 0) AS first, coalesce(sum(z) OVER o, 0) AS base
+  FROM (SELECT ap.qid, q, ap.p, count(sn.k) AS c, coalesce(sum(len(w)), 0) AS z FROM ap LEFT JOIN sn ON sn.qid = ap.qid AND sn.p = ap.p GROUP BY 1, 2, 3)
+  WINDOW o AS (PARTITION BY qid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ft AS (SELECT pr.qid, pr.p, first, base, count(sn.k) AS n FROM pr LEFT JOIN sn ON sn.qid = pr.qid AND k >= first AND upto - base < 127 - q AND k - first < 23 - q GROUP BY 1, 2, 3, 4),
+en AS (SELECT qid, max(p) AS last, max(first) AS sentences FROM ft GROUP BY 1),
+sp AS (SELECT ft.*, (SELECT max(b.p) FROM pr b WHERE b.qid = ft.qid AND b.first <= ft.first + ft.n) AS stop FROM ft),
+nx AS (SELECT sp.*, greatest(p + 1, (SELECT max(b.p) FROM pr b WHERE b.qid = sp.qid AND b.p <= sp.stop + 1 AND b.base <= sp.base + 64)) AS onward FROM sp),
+ch AS (SELECT qid, 0 AS stride_index, p, first, n, onward FROM nx WHERE p = 0
+  UNION ALL SELECT nx.qid, stride_index + 1, nx.p, nx.first, nx.n, nx.onward FROM ch JOIN en ON en.qid = ch.qid JOIN nx ON nx.qid = ch.qid AND nx.p = ch.onward
+  WHERE ch.first + ch.n < sentences AND ch.onward < last)
+SELECT ch.qid, stride_index, n::INT AS n, coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY k), '') AS context
+FROM ch LEFT JOIN sn ON sn.qid = ch.qid AND k >= first AND k < first + n GROUP BY ch.qid, stride_index, n""")
 def _(t):
     out = C.evidence_features(paragraphs(t), ["qid"], "p", "q", 128, 24, 64)
     return out.select("qid", "stride_index", F.size("sentences").alias("n"), F.array_join(F.flatten("sentences"), " ").alias("context"))

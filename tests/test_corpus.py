@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -79,6 +80,34 @@ def test_ngram_masks(spark):
     assert df.select(C.ngram_positions("g", F.lit(12), 3, F.col("k"), 5).alias("p")).distinct().count() > 30
 
 
+def test_ngram_masks_like_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(30):
+        words = [["w"] + ["##x"] * rng.randrange(3) for _ in range(rng.randrange(12))]
+        rows.append((k, ["[CLS]"] + [p for w in words for p in w] + ["[SEP]"] + [p for w in words[:4] for p in w] + ["[SEP]"]))
+    df = spark.createDataFrame(rows, "k int, t array<string>").withColumn("g", C.gram_spans("t"))
+    got = {r["k"]: r for r in df.select("k", "g", C.ngram_positions("g", F.lit(7), 3, F.col("k"), 5).alias("p")).collect()}
+    low, m = 2147483647, {1: 0, 2: 0, 3: 0}
+    for k, _ in rows:
+        spans = [(g["begin"], g["end"]) for g in got[k]["g"]]
+        order = []
+        for n in (1, 2, 3):
+            for run in zip(*[spans[i:] for i in range(n)]):
+                if all(x[1] == y[0] for x, y in zip(run, run[1:])):
+                    linear = (k * 48271 + (run[0][0] * 4 + n) * 69621 + 5 * 16807 + 12345) % low
+                    u = ((linear * linear) % low * 48271 + linear + 11) % low / low
+                    order.append((-math.log(1 - u) * n, run[0][0], run[-1][1], n))
+        want = set()
+        for _, begin, end, n in sorted(order):
+            run = set(range(begin, end))
+            if not run & want and len(want | run) <= 7:
+                want |= run
+                m[n] += 1
+        assert got[k]["p"] == sorted(want)
+    assert m[1] > m[2] > m[3] > 0
+
+
 def test_sentence_pairs(spark):
     rng = random.Random(1)
     docs = {d: [[f"d{d}s{s}w{w}" for w in range(rng.randrange(1, 15))] for s in range(rng.randrange(1, 12))] for d in range(30)}
@@ -149,13 +178,59 @@ def test_tagging_packs_whole_words(spark):
         assert row["label_ids"] == ([-1] + [l for _, l in sub] + [-1] * 9)[:8]
 
 
-def test_evidence_rows_keep_every_sentence(spark):
-    paragraphs = [[["a"] * n for n in p] for p in ([5, 6], [7], [3, 3, 3], [12], [4])]
-    df = spark.createDataFrame([(1, paragraphs, 2)], "k int, p array<array<array<string>>>, q int")
-    out = C.evidence_features(df, ["k"], "p", "q", 24, 50, 12).orderBy("stride_index").collect()
-    assert [[len(s) for s in r["sentences"]] for r in out] == [[5, 6, 7, 3], [7, 3, 3, 3], [3, 3, 3], [12, 4]] or all(
-        sum(len(s) for s in r["sentences"]) + 3 < 24 for r in out)
-    assert sum(len(s) for s in out[-1]["sentences"]) >= 4
+def plain_evidence(paragraphs, taken, max_tokens, max_global, stride):
+    """Sentence sizes of every row, by growing each row sentence by sentence."""
+    p, rows = 0, []
+    while p < len(paragraphs):
+        after = [(q, n) for q in range(p, len(paragraphs)) for n in paragraphs[q]]
+        row = 0
+        while row < len(after) and taken + sum(n for _, n in after[: row + 1]) + 1 < max_tokens and 1 + taken + row < max_global:
+            row += 1
+        rows.append([n for _, n in after[:row]])
+        if row == len(after) or stride <= 0:
+            break
+        stop = after[row][0]
+        p = max([p + 1] + [q for q in range(p + 1, stop + 2) if sum(map(sum, paragraphs[p:q])) <= stride])
+    return rows
+
+
+@pytest.mark.parametrize("max_tokens, max_global, stride", [(24, 50, 12), (40, 9, 20), (16, 6, 0), (30, 30, 100)])
+def test_evidence_rows_like_brute_force(spark, max_tokens, max_global, stride):
+    rng = random.Random(max_tokens)
+    docs = {0: [], 1: [[]], 2: [[], [3], []], 3: [[99], [1]], 4: [[5, 6], [7], [3, 3, 3], [12], [4]]}
+    for k in range(5, 60):
+        docs[k] = [[rng.randrange(1, 12) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame([(k, [[["a"] * n for n in p] for p in d], k % 4) for k, d in docs.items()], "k int, p array<array<array<string>>>, q int")
+    got = {k: [] for k in docs}
+    for r in C.evidence_features(df, ["k"], "p", "q", max_tokens, max_global, stride).orderBy("k", "stride_index").collect():
+        assert r["stride_index"] == len(got[r["k"]])
+        got[r["k"]].append([len(s) for s in r["sentences"]])
+    assert got == {k: plain_evidence(d, k % 4, max_tokens, max_global, stride) for k, d in docs.items()}
+
+
+def test_chunks_cover_every_sentence(spark):
+    rng = random.Random(8)
+    docs = [(k, [rng.randrange(1, 15) for _ in range(rng.randrange(1, 30))]) for k in range(200)] + [(200, [])]
+    df = spark.createDataFrame(docs, "k bigint, s array<int>")
+    plan = C.chunk_plan(F.col("s"), F.col("k"), 29, 0.1, 3)
+    rows = {r["k"]: r["c"] for r in df.select("k", plan.alias("c")).collect()}
+    assert rows[200] == []
+    apart, short = [], 0
+    for k, sizes in docs[:-1]:
+        at, targets = 0, {c["wanted"] + sum(sizes[c["a_from"] : c["a_to"]]) for c in rows[k]}
+        assert len(targets) == 1
+        target = targets.pop()
+        short += target < 29
+        for c in rows[k]:
+            assert c["a_from"] == at < c["a_to"] <= c["b_to"] <= len(sizes)
+            count = c["b_to"] - at
+            assert c["b_to"] == len(sizes) or sum(sizes[at : c["b_to"]]) >= target
+            assert count == 1 or sum(sizes[at : c["b_to"] - 1]) < target
+            assert c["is_random"] if count == 1 else c["a_to"] < c["b_to"]
+            apart += [c["is_random"]] * (count > 1)
+            at = c["a_to"] if c["is_random"] else c["b_to"]
+        assert at == len(sizes)
+    assert 0.4 < sum(apart) / len(apart) < 0.6 and 5 < short < 40
 
 
 def test_answer_spans(spark):
