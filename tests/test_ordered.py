@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import mix
 from feedloom.operators import ordered as O
-from feedloom.operators.corpus import mix_int
 
 pytestmark = pytest.mark.usefixtures("many_ranges")
 
 
+def mix_int(a, b, seed):
+    """The hash of integers, step by step."""
+    low = 2147483647
+    linear = (a % low * 48271 + b % low * 69621 + seed * 16807 + 12345) % low
+    return (linear * linear % low * 48271 + linear + 11) % low
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
