@@ -1,6 +1,6 @@
 """Near duplicates by min-max hashing: two signature values from every hash evaluation.
 
-A document is its set of four-word shingles. Under each of ``HASHES`` hash functions both the
+A document is its set of shingles (four words, or as many as asked for). Under each of ``HASHES`` hash functions both the
 smallest and the largest hashed shingle are kept; either agrees between two sets with a chance equal
 to their similarity, so ``2 * HASHES`` values cost ``HASHES`` evaluations. The first
 ``BANDS`` bands of four values find candidates; whole signatures drop the hopeless ones; links are confirmed on full sets.
@@ -32,7 +32,7 @@ SIG_BYTES = WIDE + VALUES
 #: Equal values, of ``VALUES``, that a pair needs to be confirmed on full sets. At the similarity
 #: asked for 410 are expected and fewer than 374 come up about once in 15,000 pairs.
 POSSIBLE = 374
-#: Bits of the filter that picks texts to be read again; the driver and every task hold that much.
+#: Bits of the filters that pick rows ahead of a shuffle; the driver and every task hold that much.
 FILTER_BITS = 1 << 24
 BLOCK = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -101,14 +101,14 @@ def _parts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 NODE_DDL = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """Each document's set size, a 128-bit digest of its set, and its signature (null for an empty set)."""
 
     def work(batches):
         known, signer = _Words(), Signer()
         for batch in batches:
             for at, data in runs(batch.column(1)):
-                sets = [shingle_set(t, known) for t in data]
+                sets = [shingle_set(t, known, size) for t in data]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 rows: list = [None] * len(sets)
                 if full:
@@ -140,7 +140,27 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _spot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _cells(keys: DataFrame) -> DataFrame:
+    """The only column of ``keys`` as a filter: words ``w`` of 64 bits ``b``, at most ``FILTER_BITS / 64`` rows."""
+    return keys.select(_spot(F.col(keys.columns[0])).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
+
+
+def _perhaps(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """All rows whose ``column`` is among ``keys``, and a few others, without moving any.
+
+    The filter that is broadcast has a fixed size. A full one lets more through, which costs time
+    and changes nothing, as an exact join follows.
+    """
+    met = rows.withColumn("s", _spot(F.col(column))).join(F.broadcast(_cells(keys)), F.expr("s div 64 = w"))
+    return met.filter("(shiftright(b, cast(s % 64 as int)) & 1L) = 1L").select(*rows.columns)
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
     """The ``a, b`` pairs whose full sets are similar enough.
 
     Texts are not moved: a filter of fixed size over the ids of nodes in a pair picks those that are
@@ -149,13 +169,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
     """
     wanted = pairs.select(F.col("a").alias("g")).distinct().unionByName(pairs.select(F.col("b").alias("g")).distinct()).distinct().join(nodes.select("g", "top", "n", "f1", "f2"), "g")
     wanted = staged(wanted, "wanted")
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = wanted.select(spot("top").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).toArrow()
+    cells = _cells(wanted.select("top")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[cells.column("w").to_numpy()] = cells.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
     own, taken = fresh("__id", docs.columns), fresh("__text", docs.columns)
-    source = docs.select(F.col(id_col).cast("bigint").alias(own), F.col(text_col).alias(taken)).select(spot(own).alias("s"), taken)
+    source = docs.select(F.col(id_col).cast("bigint").alias(own), F.col(text_col).alias(taken)).select(_spot(F.col(own)).alias("s"), taken)
 
     def sets(batches):
         known, mask = _Words(), shared.value
@@ -163,7 +182,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
             at = batch.column(0).to_numpy()
             may = (mask[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
             for _, data in runs(batch.column(1).filter(pa.array(may))):
-                found = [s for s in (shingle_set(t, known) for t in data) if len(s)]
+                found = [s for s in (shingle_set(t, known, size) for t in data) if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([len(s) for s in found], pa.int64()), pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()),
                     pa.array([int(_mixed(s ^ _M1).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
@@ -200,24 +219,24 @@ def _hubs(members: DataFrame, nodes: DataFrame, labels: None, percent: int) -> D
 
     Copies of a document resemble it more than each other, so it meets more of them in more buckets.
     """
-    hub = members.groupBy("band", "key").agg(F.max(F.struct("weight", "g"))["g"].alias("hub"))
-    return members.join(hub, ["band", "key"]).filter("g <> hub").select(F.col("g").alias("a"), F.col("hub").alias("b"))
+    hub = members.groupBy("bucket").agg(F.max(F.struct("weight", "g"))["g"].alias("hub"))
+    return members.join(hub, "bucket").filter("g <> hub").select(F.col("g").alias("a"), F.col("hub").alias("b"))
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their component, and the buckets with several: size, commonest component and its size."""
     known = members.join(labels.select(F.col("node").alias("g"), "component"), "g", "left").withColumn("component", F.coalesce("component", "g"))
-    shares = known.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
-    buckets = shares.groupBy("band", "key").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("k"), F.max("m").alias("m"))
+    shares = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    buckets = shares.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("k"), F.max("m").alias("m"))
     return known, buckets.filter("k > m")
 
 
 def _second_hubs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """In buckets with several components, all members against the most central one outside the commonest."""
     known, buckets = _open_buckets(members, labels)
-    inside = staged(known.join(buckets.select("band", "key", "main"), ["band", "key"]), "open")
-    hub = inside.filter("component <> main").groupBy("band", "key").agg(F.max(F.struct("weight", "g", "component")).alias("h"))
-    met = inside.join(hub, ["band", "key"]).filter(F.col("component") != F.col("h.component"))
+    inside = staged(known.join(buckets.select("bucket", "main"), "bucket"), "open")
+    hub = inside.filter("component <> main").groupBy("bucket").agg(F.max(F.struct("weight", "g", "component")).alias("h"))
+    met = inside.join(hub, "bucket").filter(F.col("component") != F.col("h.component"))
     return met.select(F.col("g").alias("a"), F.col("h.g").alias("b"))
 
 
@@ -228,12 +247,12 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
     all members, in blocks. A block is bounded, so a bucket of any size is many small tasks.
     """
     known, buckets = _open_buckets(members, labels)
-    buckets = buckets.select("band", "key", "main", F.ceil(F.col("k") / BLOCK).alias("all_blocks"), F.ceil((F.col("k") - F.col("m")) / BLOCK).alias("other_blocks"))
-    inside = known.join(buckets, ["band", "key"]).join(nodes.select("g", "n", "sig"), "g")
-    spot = F.xxhash64("g", "band")
-    every = inside.select("band", "key", "g", "component", "n", "sig", F.lit(False).alias("other"),
+    buckets = buckets.select("bucket", "main", F.ceil(F.col("k") / BLOCK).alias("all_blocks"), F.ceil((F.col("k") - F.col("m")) / BLOCK).alias("other_blocks"))
+    inside = known.join(buckets, "bucket").join(nodes.select("g", "n", "sig"), "g")
+    spot = F.xxhash64("g", "bucket")
+    every = inside.select("bucket", "g", "component", "n", "sig", F.lit(False).alias("other"),
                           F.pmod(spot, F.col("all_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"))
-    others = inside.filter("component <> main").select("band", "key", "g", "component", "n", "sig", F.lit(True).alias("other"),
+    others = inside.filter("component <> main").select("bucket", "g", "component", "n", "sig", F.lit(True).alias("other"),
                                                       F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(spot, F.col("other_blocks")).alias("j"))
 
     def meet(group: pa.Table) -> pa.Table:
@@ -242,7 +261,7 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
         wide, narrow = _parts(group.column("sig"))
         one, two = np.flatnonzero(other), np.flatnonzero(~other)
         bands = wide.view(np.uint64)  # a band is four values of 16 bits
-        here = int(group.column("band")[0].as_py()) if len(g) else 0
+        here = group.column("bucket")[0].as_py() % BANDS if len(g) else 0
         a, b = [], []
         for i in one:
             fit = two[(c[two] != c[i]) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)]
@@ -254,34 +273,37 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
         a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return every.unionByName(others).groupBy("band", "key", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return every.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept, links``.
 
-    Documents are linked where ``100 * intersection >= percent * union`` of their shingle sets;
+    Documents are linked where ``100 * intersection >= percent * union`` of their sets of
+    shingles of ``size`` words;
     ``component_id`` is the smallest id reachable, ``kept`` marks that document, ``links`` counts the
     other sets a document's set was confirmed against (not its copies). Null and empty texts have no
     shingles, are linked with nothing and stay. Ties take the smallest id; rows repeated with an id
     share its answer (:func:`drop_near` keeps one); null ids come after all others. Other columns are
     not read; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
     """
-    base = staged(signed(docs, id_col, text_col), "signed")
+    base = staged(signed(docs, id_col, text_col, size), "signed")
     nodes = staged(base.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("top"), F.first("sig").alias("sig"))
                    .withColumn("g", F.monotonically_increasing_id()), "nodes")
-    rows = nodes.select("g", F.posexplode(F.array(*[F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS) for b in range(BANDS)])).alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = staged(rows.join(sizes, ["band", "key"]), "members")
+    keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(b) for b in range(BANDS)]
+    rows = nodes.select("g", F.explode(F.array(*keys)).alias("bucket"))
+    sizes = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    members = staged(_perhaps(rows, "bucket", sizes.select("bucket")).join(sizes, "bucket"), "members")
     central = members.groupBy("g").agg(F.sum("k").alias("weight"))
     members = staged(members.drop("k").join(central, "g"), "members")
+    met = staged(_perhaps(nodes, "g", members.select("g")), "met")
     tried, links = None, None
     for search in (_hubs, _second_hubs, _rest):
-        pairs = search(members, nodes, None if links is None else components(links), percent)
+        pairs = search(members, met, None if links is None else components(links), percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(_possible(pairs, nodes, percent) if search is not _rest else pairs, "pairs")
-        new = _linked(pairs, nodes, docs, id_col, text_col, percent)
+        pairs = staged(_possible(pairs, met, percent) if search is not _rest else pairs, "pairs")
+        new = _linked(pairs, met, docs, id_col, text_col, percent, size)
         links = staged(new if links is None else links.unionByName(new), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
     found = components(links)
@@ -296,7 +318,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group; all columns stay. Rows of one id count as one document."""
-    kept = near_groups(docs, id_col, text_col, percent).filter("kept").select("doc_id").distinct()
+    kept = near_groups(docs, id_col, text_col, percent, size).filter("kept").select("doc_id").distinct()
     return keep_rows(docs, kept, {"doc_id": F.col(id_col).cast("bigint")})
