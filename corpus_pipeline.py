@@ -16,6 +16,8 @@ from feedloom.llm.common import fresh, staged
 
 #: A document is rejected below this score.
 QUALITY_LIMIT = 0.3
+#: Words of a shingle that near duplicates are told by.
+NEAR_WORDS = 5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id."""
-    return minhash.drop_near(docs)
+    return minhash.drop_near(docs, size=NEAR_WORDS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
