@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fresh, keep_rows, runs, staged, text_udf
+from feedloom.llm.common import fresh, runs, staged, text_udf
 from feedloom.llm.graph import components
 
 SHINGLE, SIMILARITY = 4, 80  # words; per cent of the union
@@ -101,8 +101,8 @@ def _parts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 NODE_DDL = "doc_id bigint, n bigint, f1 bigint, f2 bigint, sig binary"
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """Each document's set size, a 128-bit digest of its set, and its signature (null for an empty set)."""
+def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, sha: bool = False) -> DataFrame:
+    """Each document's set size, a 128-bit digest of its set, its signature (null for an empty set) and, if asked for, its text's sha256."""
 
     def work(batches):
         known, signer = _Words(), Signer()
@@ -118,9 +118,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) ->
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(data)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(rows, pa.binary()),
-                ], ["doc_id", "n", "f1", "f2", "sig"])
+                    *[c.slice(at, len(data)) for c in batch.columns[2:]],
+                ], ["doc_id", "n", "f1", "f2", "sig", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(work, NODE_DDL)
+    extra = [F.sha2(F.col(text_col), 256).alias("sha")] if sha else []
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"), *extra)
+    return source.mapInArrow(work, NODE_DDL + (", sha string" if sha else ""))
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -276,18 +279,9 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
     return every.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept, links``.
-
-    Documents are linked where ``100 * intersection >= percent * union`` of their sets of
-    shingles of ``size`` words;
-    ``component_id`` is the smallest id reachable, ``kept`` marks that document, ``links`` counts the
-    other sets a document's set was confirmed against (not its copies). Null and empty texts have no
-    shingles, are linked with nothing and stay. Ties take the smallest id; rows repeated with an id
-    share its answer (:func:`drop_near` keeps one); null ids come after all others. Other columns are
-    not read; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
-    """
-    base = staged(signed(docs, id_col, text_col, size), "signed")
+def _answers(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, sha: bool = True) -> DataFrame:
+    """One row per input row: ``doc_id, n``, the set's ``component`` and its smallest id, ``links`` and the text's ``sha`` if asked for."""
+    base = staged(signed(docs, id_col, text_col, size, sha), "signed")
     nodes = staged(base.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("top"), F.first("sig").alias("sig"))
                    .withColumn("g", F.monotonically_increasing_id()), "nodes")
     keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(b) for b in range(BANDS)]
@@ -311,14 +305,50 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.select("g", "n", "f1", "f2", "top").join(found.withColumnRenamed("node", "g"), "g", "left").join(degree, "g", "left")
     named = staged(named.withColumn("component", F.coalesce("component", "g")), "named")
     least = named.groupBy("component").agg(F.min("top").alias("component_id"))
-    answer = named.join(least, "component").select("n", "f1", "f2", "component_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    out = base.drop("sig").join(answer, ["n", "f1", "f2"], "left")
+    answer = named.join(least, "component").select("n", "f1", "f2", "component", "component_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return base.drop("sig").join(answer, ["n", "f1", "f2"], "left")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept, links``.
+
+    Documents are linked where ``100 * intersection >= percent * union`` of their sets of
+    shingles of ``size`` words;
+    ``component_id`` is the smallest id reachable, ``kept`` marks that document, ``links`` counts the
+    other sets a document's set was confirmed against (not its copies). Null and empty texts have no
+    shingles, are linked with nothing and stay. Ties take the smallest id; rows repeated with an id
+    in a group are all marked, and so are null ids in a group without any other (:func:`drop_near`
+    keeps one of them); null ids come after all others. Other columns are
+    not read; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+    """
+    out = _answers(docs, id_col, text_col, percent, size, sha=False)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group; all columns stay. Rows of one id count as one document."""
-    kept = near_groups(docs, id_col, text_col, percent, size).filter("kept").select("doc_id").distinct()
-    return keep_rows(docs, kept, {"doc_id": F.col(id_col).cast("bigint")})
+    """``docs`` with one row of each group of near duplicates; all columns stay.
+
+    The row with the smallest id stays, a null id after all others; of different texts under that id
+    the one with the smallest sha256, of equal texts the one with the smallest other columns. Rows
+    with null and empty texts are in no group and all stay, and so do different texts that share an
+    id or have none.
+    """
+    names = [fresh(x, docs.columns) for x in ("__none", "__id", "__sha")]
+    ident, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
+    # without nulls, so that the join and the aggregate deal rows out by the same columns
+    keys = [ident.isNull(), F.coalesce(ident, F.lit(0).cast("bigint")), F.sha2(text, 256)]
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.withColumns(dict(zip(names, keys, strict=True)))
+
+    own = fresh("__key", docs.columns)
+    answers = _answers(docs.filter(worded), id_col, text_col, percent, size)
+    first = answers.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("k"))
+    kept = first.select(F.col("k.none").alias(names[0]), F.coalesce("k.doc_id", F.lit(0).cast("bigint")).alias(names[1]), F.col("k.sha").alias(names[2]))
+
+    # rows of one id and text become one ahead of the shuffle, so no key is hot
+    rank = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    single = rows.filter(worded).groupBy(*names).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias(own))
+    grouped = single.join(kept, names, "left_semi").select(*[F.col(own)[c].alias(c) for c in docs.columns])
+    return grouped.unionByName(docs.filter(~worded))

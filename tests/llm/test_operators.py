@@ -116,6 +116,31 @@ def test_near_families(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows))
 
 
+def test_near_keeps_rows_with_null_and_repeated_ids(spark):
+    """One row of each group stays, whatever its id; texts without words all stay."""
+    rng = np.random.default_rng(8)
+    words = lambda: [f"w{k}" for k in rng.integers(0, 10**6, size=60)]
+    rows = []
+    for k in range(40):
+        base = words()
+        near = [*base[:-1], "edited"]
+        rows += [(None, " ".join(base)), (7, " ".join(words())), (100 + k, " ".join(words())), (100 + k, " ".join(words()))]
+        rows += [(None, " ".join(near)), (None, " ".join(base))] if k % 2 else [(k % 5, " ".join(near)), (900 + k, " ".join(near).upper())]
+    hit = words()
+    rows += [(3, " ".join(hit)), (5, " ".join([*hit[:-1], "edited"])), (5, " ".join(words()))]  # of id 5 one text is a near copy, one is not
+    rows += [(None, ""), (None, None), (None, ""), (7, " \t\n"), (7, " \t\n")]
+    groups, sets = {}, [frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) for w in (plain(t).lower().split() for _, t in rows)]
+    full = [k for k, s in enumerate(sets) if s]
+    for k in full:  # every group is a star here: what resembles its first member
+        first = next(j for j in full if 100 * len(sets[j] & sets[k]) >= 80 * len(sets[j] | sets[k]))
+        groups.setdefault(first, []).append(k)
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0, sha(rows[k][1]))
+    want = Counter(rows[min(g, key=order)] for g in groups.values()) + Counter(rows[k] for k, s in enumerate(sets) if not s)
+    docs = spark.createDataFrame([(i, t, n % 3) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(5)
+    got = Counter((r.doc_id, r.text) for r in minhash.drop_near(docs).collect())
+    assert sum(got.values()) == sum(want.values()) and got == want
+
+
 def test_secrets(docs, none):
     rule = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     texts = [t or "" for _, t in TEXTS] + ["ok"]
