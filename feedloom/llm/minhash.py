@@ -14,6 +14,8 @@ to be connected.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,9 +31,6 @@ VALUES = 2 * HASHES
 #: The values of the bands are kept in 16 bits, the others, which only measure, in 8.
 WIDE = BANDS * ROWS
 SIG_BYTES = WIDE + VALUES
-#: Equal values, of ``VALUES``, that a pair needs to be confirmed on full sets. At the similarity
-#: asked for 410 are expected and fewer than 374 come up about once in 15,000 pairs.
-POSSIBLE = 374
 #: Bits of the filters that pick rows ahead of a shuffle; the driver and every task hold that much.
 FILTER_BITS = 1 << 24
 BLOCK = 256
@@ -126,6 +125,21 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, sha
     return source.mapInArrow(work, NODE_DDL + (", sha string" if sha else ""))
 
 
+def possible(percent: int) -> int:
+    """Equal values, of ``VALUES``, that a pair needs to be confirmed on full sets.
+
+    The largest number that loses no more pairs of just the similarity asked for than the bands
+    lose, nor more than one in ten million (binomial tail); pairs above it are lost less often.
+    """
+    p = percent / 100
+    most, lost = min((1 - p**ROWS) ** BANDS, 1e-7), 0.0
+    for k in range(VALUES):
+        lost += math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k)
+        if lost > most:
+            return k
+    return VALUES
+
+
 def _agreement(a: Column, b: Column) -> Column:
     """How many signature values agree."""
 
@@ -214,7 +228,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     side = [nodes.select(F.col("g").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab"]
     sized = pairs.join(side[0], "a").join(side[1], "b").filter(_sizes_allow("na", "nb", percent))
-    return sized.select("a", "b", _agreement(F.col("sa"), F.col("sb")).alias("same")).filter(F.col("same") >= POSSIBLE).select("a", "b")
+    return sized.select("a", "b", _agreement(F.col("sa"), F.col("sb")).alias("same")).filter(F.col("same") >= possible(percent)).select("a", "b")
 
 
 def _hubs(members: DataFrame, nodes: DataFrame, labels: None, percent: int) -> DataFrame:
@@ -258,6 +272,8 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
     others = inside.filter("component <> main").select("bucket", "g", "component", "n", "sig", F.lit(True).alias("other"),
                                                       F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(spot, F.col("other_blocks")).alias("j"))
 
+    least = possible(percent)
+
     def meet(group: pa.Table) -> pa.Table:
         other = np.asarray(group.column("other").to_numpy(zero_copy_only=False), dtype=bool)
         g, c, n = (group.column(x).to_numpy() for x in ("g", "component", "n"))
@@ -269,7 +285,7 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
         for i in one:
             fit = two[(c[two] != c[i]) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)]
             fit = fit[(bands[fit] == bands[i]).argmax(axis=1) == here]  # a pair counts in its first band
-            fit = fit[(wide[fit] == wide[i]).sum(axis=1) + (narrow[fit] == narrow[i]).sum(axis=1) >= POSSIBLE]
+            fit = fit[(wide[fit] == wide[i]).sum(axis=1) + (narrow[fit] == narrow[i]).sum(axis=1) >= least]
             a.append(np.full(len(fit), g[i]))
             b.append(g[fit])
         none = np.zeros(0, dtype=np.int64)

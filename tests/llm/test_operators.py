@@ -141,6 +141,14 @@ def test_near_keeps_rows_with_null_and_repeated_ids(spark):
     assert sum(got.values()) == sum(want.values()) and got == want
 
 
+def test_near_signatures_rule_out_no_more_than_the_bands():
+    for percent in (50, 70, 80, 90):
+        p, k = percent / 100, minhash.possible(percent)
+        lost = sum(math.comb(minhash.VALUES, j) * p**j * (1 - p) ** (minhash.VALUES - j) for j in range(k))
+        assert lost <= min((1 - p**minhash.ROWS) ** minhash.BANDS, 1e-7)
+    assert 0 < minhash.possible(80) < 362 and minhash.possible(100) == minhash.VALUES
+
+
 def test_secrets(docs, none):
     rule = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     texts = [t or "" for _, t in TEXTS] + ["ok"]
