@@ -112,6 +112,21 @@ def stories_to_articles(stories: DataFrame, articles: DataFrame, normalise, most
     )
 
 
+def items_not_rated(ratings: DataFrame, items: DataFrame) -> DataFrame:
+    """``user_id, n, h`` of the catalogue's items (distinct ``item_id``) that a user has not rated.
+
+    ``h`` sums an arithmetic hash of the items. Both follow from the catalogue's totals minus those
+    of the user's distinct items, so users and items are never crossed.
+    """
+    h = F.col("item_id").cast("bigint") * F.lit(2654435761) % F.lit(4294967291)
+    own = ratings.select("user_id", "item_id").distinct().join(items, "item_id", "left_semi")
+    totals = items.agg(F.count(F.lit(1)).alias("all_n"), F.sum(h).alias("all_h"))
+    found = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
+    return found.crossJoin(F.broadcast(totals)).select(
+        "user_id", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_h") - F.col("h")).alias("h")
+    )
+
+
 def missing_keys(left: DataFrame, right: DataFrame, key: str) -> int:
     """How many left keys have no row on the right."""
     return left.select(key).distinct().join(right, key, "left_anti").count()

@@ -47,6 +47,15 @@ def _(t):
     )
 
 
+@check("map_inflate_bytes", sql="""
+SELECT doc_id, text AS a, text AS b, substr(hex(encode(text)), 1, strlen(text) // 2 * 2) AS half FROM documents""")
+def _(t):
+    """The whole text twice and the first half of its bytes; in hex, as a character may be cut."""
+    from feedloom.functions.text import half_bytes
+
+    return t.documents.select("doc_id", F.col("text").alias("a"), F.col("text").alias("b"), F.hex(half_bytes("text")).alias("half"))
+
+
 @check("filter_predicate", sql="""
 SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 20""")
 def _(t):
