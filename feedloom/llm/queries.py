@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, exact_dedup, langid, lm, minhash, piece_lattice, quality, secrets, warc
+from feedloom.llm import chat, decontaminate, exact_dedup, langid, lm, merkle, minhash, neighbours, phrases, piece_lattice, quality, secrets, warc
 from feedloom.llm.common import crc_fold
 from feedloom.session import fresh_folder
 
@@ -149,3 +149,85 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = lm.score(docs, lm.fit(docs))
     return scored.select("doc_id", in_fold(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_neighbours")
+def op11(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    texts = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in texts) + ")"
+
+
+#: crc32 of the decimal id, eight steps for each of its characters.
+_CRC_SQL = """xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+
+
+@query("op12_merkle", f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf_sql()} AS leaf, CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql()} END AS given FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), t(lang, lvl, pos, h, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM p
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2
+), tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS top FROM t WHERE n = 1
+), u(lvl, pos, h, n) AS (
+  SELECT 0, top, subroot, count(*) OVER () FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2
+), way AS (
+  SELECT rid, t.lvl AS lvl, t.pos AS own, s.pos AS pos, s.h AS h FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = p.pos >> t.lvl AND t.n > 1
+  LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM t.lang AND s.lvl = t.lvl AND s.pos = xor(t.pos, 1)
+  UNION ALL
+  SELECT rid, 1000 + u.lvl, u.pos, s.pos, s.h FROM p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.lang JOIN u ON u.pos = top >> u.lvl AND u.n > 1
+  LEFT JOIN u s ON s.lvl = u.lvl AND s.pos = xor(u.pos, 1)
+), step AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k FROM way
+), f(rid, k, now) AS (
+  SELECT rid, 1, given FROM p
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(CASE WHEN step.pos < own THEN h ELSE '' END || now || CASE WHEN step.pos > own THEN h ELSE '' END) FROM f JOIN step ON step.rid = f.rid AND step.k = f.k
+), last AS (SELECT rid, arg_max(now, k) AS folded_root FROM f GROUP BY rid
+), proof AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256 FROM way GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.lang JOIN last USING (rid) LEFT JOIN proof USING (rid), (SELECT h AS root FROM u WHERE n = 1)
+""")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(crc_fold("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    tampered = merkle.leaf_digest(*[changed if c == "n_chars" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    found = merkle.manifest(docs, carry=tampered)
+    siblings = F.flatten(F.transform("proof", lambda step: step["others"]))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        merkle.folded(F.col("carried"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_phrases", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS words FROM p
+), g AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), f AS (SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k, count(*) AS c FROM g, (VALUES (1), (2), (3)) s(k) WHERE i + k - 1 <= len(words) GROUP BY ALL
+), n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (SELECT lang, phrase, string_split(phrase, ' ') AS words, k, c AS a FROM f WHERE k > 1 AND c >= 10
+), cut AS (SELECT lang, phrase, words, k, a, unnest(range(1, k)) AS m FROM cand
+), s AS (
+  SELECT cut.*, l.c AS l, r.c AS r, ((1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c))::BIGINT AS score FROM cut
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(words[1:m], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(words[m + 1:cut.k], ' ')
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1
+), held AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN cand d ON c.lang = d.lang AND c.k = 2 AND d.k = 3 AND (c.words = d.words[1:2] OR c.words = d.words[2:3]) AND 100 * d.a >= 50 * c.a
+), kept AS (SELECT * FROM best ANTI JOIN held USING (lang, phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
+def op13(spark, sf_dir):
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))

@@ -27,4 +27,4 @@ def test_run_is_what_the_stages_give(spark):
 def test_registered_queries():
     assert [q for q in sorted(queries.all_queries()) if q.startswith("op")] == sorted([
         "op1_quality", "op2_warc", "op3_exact_dedup", "op4_minhash", "op5_secret_scan", "op6_decontaminate", "op7_language",
-        "op8_chat_format", "op9_sentencepiece", "op10_lm_score"])
+        "op8_chat_format", "op9_sentencepiece", "op10_lm_score", "op11_neighbours", "op12_merkle", "op13_phrases"])
