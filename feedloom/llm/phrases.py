@@ -1,11 +1,16 @@
 """Phrase collocations by marginalising the longest windows.
 
-Every word occurrence opens one window of ``longest`` words inside its piece, padded with null where
-the piece ends. The windows stand side by side as shifted columns of the piece's word list (the lead
-of one word, of two, ...), so nothing is sorted to build them, and only these windows are counted.
-The count of a shorter phrase is the sum over the windows that it begins: one ``ROLLUP`` over the
-counted windows gives all shorter phrases, single words and the number of words of each language,
-without an explosion for each length.
+Every word occurrence opens one window of ``longest`` words inside its piece, padded where the piece
+ends. The windows stand side by side as shifted columns (the lead of one word, of two, ...), so
+nothing is sorted to build them, and only these windows are counted. The count of a shorter phrase
+is the sum over the windows that it begins: one ``ROLLUP`` over the counted windows gives all shorter
+phrases, single words and the number of words of each language, without an explosion for each length.
+
+Most long windows are rare, and a window with a rare pair of words in it is rare itself. So pairs are
+counted first, as 64-bit hashes (two pairs of one hash only seem more frequent), and the frequent ones
+mark a filter of ``FILTER_BITS`` bits. A window is padded from the second word of its first pair that
+the filter does not know: no sum of a phrase that occurs often enough changes, and far fewer windows
+are different. A full filter pads less, which costs shuffle and changes nothing.
 
 Counts are exact over all texts. Candidates, their parts and the longer phrases around them meet in
 joins whose keys are dealt over ``SALTS`` places, so a word that a third of all candidates share is
@@ -14,41 +19,146 @@ not one task's work.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import staged
+from feedloom.llm.common import runs, staged
 
 #: Pieces end at these characters; words are separated by spaces and tabs.
-PIECE_END, GAP = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+PIECE_END = b".,;:!?\n\x0b\x0c\r"
+#: Bits of the filter of frequent pairs; the driver and every task hold that much.
+FILTER_BITS = 1 << 27
 #: Places that the rows of one phrase or word are dealt over in a join.
 SALTS = 16
+#: Windows counted at once in a task, and distinct words; a longer text goes beyond both.
+WINDOWS, WORDS = 1 << 22, 1 << 20
 _WHOLE = "decimal(20,0)"
-
-
-def pieces(text: Column) -> Column:
-    """The word lists of a text's pieces, A-Z lowered; a null text is empty, pieces without words are left out."""
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    cut = F.transform(F.split(low, PIECE_END), lambda p: F.filter(F.split(p, GAP), lambda w: w != ""))
-    return F.filter(cut, lambda words: F.size(words) > 0)
-
-
-def windows(docs: DataFrame, text_col: str, lang_col: str, longest: int) -> DataFrame:
-    """``lang, w0 .. w{longest-1}``: the padded window of every word occurrence; a null language is ``und``."""
-    source = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-                         F.explode(pieces(F.col(f"`{text_col}`"))).alias("words"))
-    size = F.size("words")
-    shifted = [F.slice("words", k + 1, size).alias(f"w{k}") if k else F.col("words").alias("w0") for k in range(longest)]
-    return source.select("lang", F.inline(F.arrays_zip(*shifted)))
-
-
-def window_counts(docs: DataFrame, text_col: str, lang_col: str, longest: int) -> DataFrame:
-    """``lang, w0 .., c``: how often each padded window occurs."""
+_BREAK = b"\xff"  # no byte of a text
+_LOW = bytes(_BREAK[0] if c in PIECE_END else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class Numbered:
+    """Words of texts as numbers from 1, each language's own; 0 stands between pieces."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.words: list[bytes] = [b""]
+        self.langs: list[str] = [""]
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def full(self) -> bool:
+        return self.held > WINDOWS or len(self.words) > WORDS
+
+    def add(self, lang: str, text: bytes) -> None:
+        known = self.known.setdefault(lang, {_BREAK: 0})
+        tokens = text.translate(_LOW).replace(_BREAK, b" \xff ").split()
+        for word in set(tokens) - known.keys():
+            known[word] = len(self.words)
+            self.words.append(word)
+            self.langs.append(lang)
+        self.parts.append(np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
+        self.parts.append(np.zeros(1, dtype=np.int64))
+        self.held += len(tokens)
+
+    def tokens(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.int64), *self.parts])
+
+    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all neighbouring numbers, by language, and whether both are words."""
+        own = np.array([xxhash.xxh64_intdigest(w, xxhash.xxh32_intdigest(x)) for w, x in zip(self.words, self.langs, strict=True)], dtype=np.uint64)
+        h = own[ids]
+        return _mixed(_mixed(h[:-1]) * _M2 + h[1:]), (ids[:-1] > 0) & (ids[1:] > 0)
+
+
+def _source(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[Numbered]:
+    """The words of all rows, some texts at a time."""
+    now = Numbered()
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for at, data in runs(batch.column(1)):
+            for lang, text in zip(langs[at:], data, strict=False):
+                now.add(lang, text)
+                if now.full():
+                    yield now
+                    now.clear()
+    yield now
+
+
+def frequent_pairs(docs: DataFrame, text_col: str, lang_col: str, least: int) -> np.ndarray:
+    """The filter, 64 bits a number: a bit for each pair that occurs ``least`` times, and a few more."""
+
+    def count(batches):
+        for now in _filled(batches):
+            h, good = now.pairs(now.tokens())
+            h, n = np.unique(h[good].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "c"])
+
+    pairs = _source(docs, text_col, lang_col).mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    spots = pairs.select(F.pmod("h", F.lit(FILTER_BITS)).alias("s"))
+    cells = spots.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[cells.column("w").to_numpy()] = cells.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _counted(columns: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of equally long columns of numbers of some bits, and how often each occurs."""
+    key, held = columns[0], bits
+    for c in columns[1:]:
+        if held + bits > 63:  # number what is there, to make room
+            key = np.unique(key, return_inverse=True)[1]
+            held = len(key).bit_length()
+        key, held = key << bits | c, held + bits
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [c[first] for c in columns], n
+
+
+def window_counts(docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int) -> DataFrame:
+    """``lang, w0 .., c``: how often each padded window occurs, where rare pairs may end a window early."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, text_col, lang_col, least))
     names = [f"w{k}" for k in range(longest)]
-    return windows(docs, text_col, lang_col, longest).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("c"))
+
+    def count(batches):
+        known = shared.value
+        for now in _filled(batches):
+            ids = now.tokens()
+            h, good = now.pairs(ids)
+            spot = h % np.uint64(FILTER_BITS)
+            good &= (known[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)) > 0
+            # the lead of k words: whole where all pairs up to it are frequent; a text's last token is 0
+            columns, whole = [ids], np.ones(len(ids), dtype=bool)
+            for k in range(1, longest):
+                whole = whole & np.append(good[k - 1 :], np.zeros(min(k, len(ids)), dtype=bool))
+                columns.append(np.where(whole, np.append(ids[k:], np.zeros(min(k, len(ids)), dtype=np.int64)), 0))
+            starts = ids > 0
+            columns, n = _counted([c[starts] for c in columns], len(now.words).bit_length())
+            words, langs = pa.array(now.words, pa.binary()).cast(pa.string()), pa.array(now.langs, pa.string())
+            out = [langs.take(pa.array(columns[0])), *[words.take(pa.array(c, mask=c == 0)) for c in columns], pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(out, ["lang", *names, "c"])
+
+    ddl = ", ".join(["lang string", *[f"{x} string" for x in names], "c bigint"])
+    return _source(docs, text_col, lang_col).mapInArrow(count, ddl).groupBy("lang", *names).agg(F.sum("c").alias("c"))
 
 
 def phrase_counts(counted: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +241,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     if longest < 2:
         raise ValueError("a phrase has at least two words")
-    counted = staged(window_counts(docs, text_col, lang_col, longest), "windows")
+    counted = staged(window_counts(docs, text_col, lang_col, longest, least), "windows")
     counts, totals = phrase_counts(counted, longest, least)
     counts = staged(counts, "phrases")
     rows = scored(counts).join(covered(counts, percent), ["lang", "phrase"], "left_anti")

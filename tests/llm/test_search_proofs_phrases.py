@@ -216,6 +216,21 @@ def test_phrases(spark, longest, least, top):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+def test_phrases_flushed_often_and_with_a_full_filter(spark, monkeypatch):
+    docs = spark.createDataFrame(PHRASE_ROWS, "lang string, text string").repartition(2)
+    monkeypatch.setattr(phrases, "WINDOWS", 5)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 64)
+    got = phrases.collocations(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_phrases(PHRASE_ROWS, 3, 10, 50, 2000))
+
+
+def test_rows_of_many_columns_are_told_apart():
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, 2**30, size=4000) // 2**28 * (2**28 + 1) % 2**30 for _ in range(5)]
+    found, n = phrases._counted(columns, 30)
+    assert Counter(dict(zip(zip(*[c.tolist() for c in found], strict=True), n.tolist(), strict=True))) == Counter(zip(*[c.tolist() for c in columns], strict=True))
+
+
 def test_phrase_scores_are_exact_beyond_64_bits(spark):
     big = 2_000_000_011
     counts = spark.createDataFrame([("x", "a", 1, 3 * big), ("x", "b", 1, big + 1), ("x", "a b", 2, big)], "lang string, phrase string, words int, c long")
