@@ -37,7 +37,7 @@ FILTER_BITS = 1 << 27
 #: Places that the rows of one phrase or word are dealt over in a join.
 SALTS = 16
 #: Windows counted at once in a task, and distinct words; a longer text goes beyond both.
-WINDOWS, WORDS = 1 << 22, 1 << 20
+WINDOWS, WORDS = 1 << 21, 1 << 19
 _WHOLE = "decimal(20,0)"
 _BREAK = b"\xff"  # no byte of a text
 _LOW = bytes(_BREAK[0] if c in PIECE_END else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,6 +50,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Known(dict):
+    """The numbers of a language's words; a new word gets the next one."""
+
+    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
+        super().__init__({_BREAK: 0})
+        self.lang, self.words, self.langs = lang, words, langs
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
+        return number
+
+
 class Numbered:
     """Words of texts as numbers from 1, each language's own; 0 stands between pieces."""
 
@@ -57,7 +71,7 @@ class Numbered:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, dict[bytes, int]] = {}
+        self.known: dict[str, _Known] = {}
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
         self.parts: list[np.ndarray] = []
@@ -67,18 +81,15 @@ class Numbered:
         return self.held > WINDOWS or len(self.words) > WORDS
 
     def add(self, lang: str, text: bytes) -> None:
-        known = self.known.setdefault(lang, {_BREAK: 0})
+        if lang not in self.known:
+            self.known[lang] = _Known(lang, self.words, self.langs)
         tokens = text.translate(_LOW).replace(_BREAK, b" \xff ").split()
-        for word in set(tokens) - known.keys():
-            known[word] = len(self.words)
-            self.words.append(word)
-            self.langs.append(lang)
-        self.parts.append(np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
-        self.parts.append(np.zeros(1, dtype=np.int64))
+        tokens.append(_BREAK)
+        self.parts.append(np.fromiter(map(self.known[lang].__getitem__, tokens), dtype=np.int32, count=len(tokens)))
         self.held += len(tokens)
 
     def tokens(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype=np.int64), *self.parts])
+        return np.concatenate([np.zeros(0, dtype=np.int64), *self.parts], dtype=np.int64)
 
     def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all neighbouring numbers, by language, and whether both are words."""
