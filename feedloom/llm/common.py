@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import warnings
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
@@ -74,21 +77,28 @@ def runs(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tu
 def keep_rows(docs: DataFrame, keep: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of ``docs`` whose key is in ``keep``, one row for each key.
 
-    ``keys`` maps the key columns of ``keep`` to expressions over ``docs``; null equals null. Rows
-    repeated under one key are reduced to one. The window uses the partitioning and order of the
-    join, so the texts move once.
+    ``keys`` maps the key columns of ``keep`` to expressions over ``docs``; null equals null. Of rows
+    repeated under one key the one whose JSON text comes first stays. They become one ahead of the
+    shuffle, so no key is hot, and the join uses the same partitioning, so texts move once.
     """
-    names = {k: fresh(f"__{k}", docs.columns) for k in keys}
-    right = keep.select(*[F.col(k).alias(f"{n}__r") for k, n in names.items()])
-    left = docs.withColumns({n: keys[k] for k, n in names.items()})
-    same = [F.col(n).eqNullSafe(F.col(f"{n}__r")) for n in names.values()]
-    rank = fresh("__rank", docs.columns)
-    window = Window.partitionBy(*names.values()).orderBy(*names.values())
-    joined = left.join(right, same, "left_semi")
-    return (
-        joined.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) == 1)
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
-
-
-__all__ = ["SPACE_CLASS", "crc_fold", "fresh", "keep_rows", "runs", "staged", "text_udf", "texts"]
+    names, left, right = [], docs, keep.select(*keys)
+    for k, value in keys.items():  # without nulls, so that the join and the aggregate deal rows out by the same columns
+        for name, part in ((fresh(f"__{k}_none", docs.columns), lambda c: c.isNull()), (fresh(f"__{k}", docs.columns), lambda c: F.coalesce(c.cast("string"), F.lit("")))):
+            left, right = left.withColumn(name, part(value)), right.withColumn(name, part(F.col(k)))
+            names.append(name)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row, own = F.struct(*columns), fresh("__row", docs.columns)
+    single = left.groupBy(*names).agg(F.min_by(row, F.to_json(row)).alias(own))
+    return single.join(right.select(*names), names, "left_semi").select(*[F.col(own)[c].alias(c) for c in docs.columns])
+
+
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """``value`` on every executor, given by calling the result there.
+
+    It is sent with the code of its classes, so executors need no installation.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+__all__ = ["SPACE_CLASS", "crc_fold", "fresh", "keep_rows", "runs", "shared", "staged", "text_udf", "texts"]

@@ -112,10 +112,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
 
     Null text has no words; a null benchmark text has no window, a null item id no name in
     ``items`` (its hits count). An empty benchmark hits nothing. Each row is scanned by itself, so
-    repeated rows and other columns have no effect; columns of ``docs`` are untouched. The
+    repeated rows and other columns have no effect; columns of ``docs`` are untouched, and an
+    ``out_col`` that is one of them is refused. The
     benchmark is broadcast in blocks of at most ``block_bytes``; each text is scanned against every
     block, so a benchmark of any size is handled and a task holds one block's windows at a time.
     """
+    if fresh(out_col, docs.columns) != out_col:
+        raise ValueError(f"there is a column {out_col} already, name another one as out_col")
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
 

@@ -8,8 +8,9 @@ to their similarity, so ``2 * HASHES`` values cost ``HASHES`` evaluations. The f
 No group is paired out. Equal sets are one node. In a bucket every node is first tried against one
 hub; buckets that then still hold several components get a second hub, and only those that are open
 after it are searched further, in blocks of bounded size, for pairs of different components that the
-signatures hold possible. Every pair of a bucket is thus confirmed, ruled out by signatures or known
-to be connected.
+signatures hold possible. Members with such a partner bring their full sets to the block, where links
+are confirmed and join components, so that only links that connect something leave it. Every pair of
+a bucket is thus confirmed, ruled out or known to be connected, and no table of pairs is written.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ VALUES = 2 * HASHES
 #: The values of the bands are kept in 16 bits, the others, which only measure, in 8.
 WIDE = BANDS * ROWS
 SIG_BYTES = WIDE + VALUES
-#: Bits of the filters that pick rows ahead of a shuffle; the driver and every task hold that much.
-FILTER_BITS = 1 << 24
-BLOCK = 256
+#: Bits of the filters that pick rows ahead of a shuffle: eight for each key, this many at least and
+#: at most; the driver and every task hold that much.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Members of a block, and shingles of all its sets together, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,7 +80,7 @@ class Signer:
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         """``SIG_BYTES`` for each set: all values, minima and maxima by turns; no set is empty.
 
-        Neighbours are a minimum and a maximum of different functions, so a band holds two of each.
+        A band holds two minima and two maxima, all of different functions.
         """
         flat = np.concatenate(sets)
         starts = np.cumsum([0, *map(len, sets[:-1])])
@@ -86,7 +89,7 @@ class Signer:
         for k in range(HASHES):
             np.multiply(flat ^ self.turn[k], self.factor[k], out=work)
             out[:, 2 * k] = np.minimum.reduceat(work, starts)
-            out[:, (2 * k + 3) % VALUES] = np.maximum.reduceat(work, starts)
+            out[:, (2 * k + 5) % VALUES] = np.maximum.reduceat(work, starts)
         top = (_mixed(out) >> np.uint64(48)).astype(np.uint16)
         return np.column_stack([np.ascontiguousarray(top[:, :WIDE]).view(np.uint8), top[:, WIDE:].astype(np.uint8)])
 
@@ -157,41 +160,47 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _spot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def _bits(keys: DataFrame) -> int:
+    """The size of a filter over a written table of keys."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
 
 
-def _cells(keys: DataFrame) -> DataFrame:
-    """The only column of ``keys`` as a filter: words ``w`` of 64 bits ``b``, at most ``FILTER_BITS / 64`` rows."""
-    return keys.select(_spot(F.col(keys.columns[0])).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(
+def _spot(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def _cells(keys: DataFrame, bits: int) -> DataFrame:
+    """The only column of ``keys`` as a filter: words ``w`` of 64 bits ``b``, at most ``bits / 64`` rows."""
+    return keys.select(_spot(F.col(keys.columns[0]), bits).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
 
 
 def _perhaps(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """All rows whose ``column`` is among ``keys``, and a few others, without moving any.
+    """All rows whose ``column`` is among the written ``keys``, and a few others, without moving any.
 
-    The filter that is broadcast has a fixed size. A full one lets more through, which costs time
+    The filter that is broadcast has a bounded size. A full one lets more through, which costs time
     and changes nothing, as an exact join follows.
     """
-    met = rows.withColumn("s", _spot(F.col(column))).join(F.broadcast(_cells(keys)), F.expr("s div 64 = w"))
+    bits = _bits(keys)
+    met = rows.withColumn("s", _spot(F.col(column), bits)).join(F.broadcast(_cells(keys, bits)), F.expr("s div 64 = w"))
     return met.filter("(shiftright(b, cast(s % 64 as int)) & 1L) = 1L").select(*rows.columns)
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
-    """The ``a, b`` pairs whose full sets are similar enough.
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``g, s``: the full sets of the nodes ``g`` that are wanted.
 
-    Texts are not moved: a filter of fixed size over the ids of nodes in a pair picks those that are
+    Texts are not moved: a filter of bounded size over the ids of wanted nodes picks those that are
     read again into sets, and the sets it lets through meet their nodes. A full filter lets more
     through, which costs time and changes nothing.
     """
-    wanted = pairs.select(F.col("a").alias("g")).distinct().unionByName(pairs.select(F.col("b").alias("g")).distinct()).distinct().join(nodes.select("g", "top", "n", "f1", "f2"), "g")
-    wanted = staged(wanted, "wanted")
-    cells = _cells(wanted.select("top")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[cells.column("w").to_numpy()] = cells.column("b").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    wanted = staged(wanted.distinct().join(nodes.select("g", "top", "n", "f1", "f2"), "g"), "wanted")
+    bits = _bits(wanted)
+    cells = _cells(wanted.select("top"), bits).toArrow()
+    mask = np.zeros(bits // 64, dtype=np.int64)
+    mask[cells.column("w").to_numpy()] = cells.column("b").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
     own, taken = fresh("__id", docs.columns), fresh("__text", docs.columns)
-    source = docs.select(F.col(id_col).cast("bigint").alias(own), F.col(text_col).alias(taken)).select(_spot(F.col(own)).alias("s"), taken)
+    source = docs.select(F.col(id_col).cast("bigint").alias(own), F.col(text_col).alias(taken)).select(_spot(F.col(own), bits).alias("s"), taken)
 
     def sets(batches):
         known, mask = _Words(), shared.value
@@ -206,16 +215,23 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
                 ], ["n", "f1", "f2", "s"])
 
     read = source.mapInArrow(sets, "n bigint, f1 bigint, f2 bigint, s binary").join(wanted.drop("top"), ["n", "f1", "f2"])
-    full = staged(read.select("g", "s").dropDuplicates(["g"]), "sets")
+    return staged(read.select("g", "s").dropDuplicates(["g"]), "sets")
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are similar enough."""
+    both = int(np.isin(s, t, assume_unique=True).sum()) if len(s) * len(t) < 64 else len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """The ``a, b`` pairs whose full sets are similar enough."""
+    full = _full_sets(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))), nodes, docs, id_col, text_col, size)
 
     def make():
         def work(x, y):
-            out = []
-            for p, q in zip(x, y, strict=True):
-                s, t = np.frombuffer(p.as_buffer(), dtype=np.uint64), np.frombuffer(q.as_buffer(), dtype=np.uint64)
-                both = int(np.isin(s, t, assume_unique=True).sum()) if len(s) * len(t) < 64 else len(np.intersect1d(s, t, assume_unique=True))
-                out.append(100 * both >= percent * (len(s) + len(t) - both))
-            return pa.array(out, pa.bool_())
+            sets = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in c] for c in (x, y)]
+            return pa.array([_similar(s, t, percent) for s, t in zip(*sets, strict=True)], pa.bool_())
 
         return work
 
@@ -231,7 +247,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", _agreement(F.col("sa"), F.col("sb")).alias("same")).filter(F.col("same") >= possible(percent)).select("a", "b")
 
 
-def _hubs(members: DataFrame, nodes: DataFrame, labels: None, percent: int) -> DataFrame:
+def _hubs(members: DataFrame) -> DataFrame:
     """Every member of a bucket with its hub: the one that shares most with others over all bands.
 
     Copies of a document resemble it more than each other, so it meets more of them in more buckets.
@@ -248,7 +264,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return known, buckets.filter("k > m")
 
 
-def _second_hubs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _second_hubs(members: DataFrame, labels: DataFrame) -> DataFrame:
     """In buckets with several components, all members against the most central one outside the commonest."""
     known, buckets = _open_buckets(members, labels)
     inside = staged(known.join(buckets.select("bucket", "main"), "bucket"), "open")
@@ -257,42 +273,87 @@ def _second_hubs(members: DataFrame, nodes: DataFrame, labels: DataFrame, percen
     return met.select(F.col("g").alias("a"), F.col("h.g").alias("b"))
 
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of different components in a bucket.
+def _blocks(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of open buckets in blocks ``bucket, i, j`` that together hold all pairs still to be met.
 
     A bucket's commonest component needs no search within itself: the others, in blocks, meet
-    all members, in blocks. A block is bounded, so a bucket of any size is many small tasks.
+    all members, in blocks. A block is bounded by its members and by their shingles, so a bucket of
+    any size is many small tasks.
     """
     known, buckets = _open_buckets(members, labels)
-    buckets = buckets.select("bucket", "main", F.ceil(F.col("k") / BLOCK).alias("all_blocks"), F.ceil((F.col("k") - F.col("m")) / BLOCK).alias("other_blocks"))
-    inside = known.join(buckets, "bucket").join(nodes.select("g", "n", "sig"), "g")
+    other = F.col("component") != F.col("main")
+    inside = known.join(buckets.select("bucket", "main"), "bucket")
+    load = inside.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("all_blocks"),
+        F.greatest(F.ceil(F.count_if(other) / BLOCK), F.ceil(F.sum(F.when(other, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).alias("other_blocks"))
+    inside = inside.drop("n").join(load, "bucket").join(nodes.select("g", "n", "sig"), "g")
     spot = F.xxhash64("g", "bucket")
     every = inside.select("bucket", "g", "component", "n", "sig", F.lit(False).alias("other"),
                           F.pmod(spot, F.col("all_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("j"))
-    others = inside.filter("component <> main").select("bucket", "g", "component", "n", "sig", F.lit(True).alias("other"),
-                                                      F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(spot, F.col("other_blocks")).alias("j"))
-
+    others = inside.filter(other).select("bucket", "g", "component", "n", "sig", F.lit(True).alias("other"),
+                                         F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), F.pmod(spot, F.col("other_blocks")).alias("j"))
+    return every.unionByName(others)
+
+
+def _candidates(block: pa.Table, percent: int, least: int) -> list[tuple[int, np.ndarray]]:
+    """Rows of the block's ``other`` side, each with the rows of the whole side that it may be linked with."""
+    if not block.num_rows:
+        return []
+    other = np.asarray(block.column("other").to_numpy(zero_copy_only=False), dtype=bool)
+    c, n = (block.column(x).to_numpy() for x in ("component", "n"))
+    wide, narrow = _parts(block.column("sig"))
+    one, two = np.flatnonzero(other), np.flatnonzero(~other)
+    bands = wide.view(np.uint64)  # a band is four values of 16 bits
+    here = block.column("bucket")[0].as_py() % BANDS
+    out = []
+    for i in one:
+        fit = two[(c[two] != c[i]) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)]
+        fit = fit[(bands[fit] == bands[i]).argmax(axis=1) == here]  # a pair counts in its first band
+        fit = fit[(wide[fit] == wide[i]).sum(axis=1) + (narrow[fit] == narrow[i]).sum(axis=1) >= least]
+        if len(fit):
+            out.append((int(i), fit))
+    return out
+
+
+def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """``a, b`` links between different components of a bucket, as many as connect them.
+
+    First each block names its members with a possible partner; they alone come again with their
+    full sets. There pairs are confirmed, and a link joins its components at once, so pairs that
+    became connected are passed over and a block gives fewer links than it has members.
+    """
     least = possible(percent)
+    columns = "bucket bigint, i bigint, j bigint, g bigint, component bigint, n bigint, other boolean, sig binary"
+
+    def name(block: pa.Table) -> pa.Table:
+        found = _candidates(block, percent, least)
+        return block.take(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[np.append(fit, i) for i, fit in found]])))
+
+    blocks = _blocks(members, nodes, labels).select(*[x.split()[0] for x in columns.split(", ")])
+    named = staged(blocks.groupBy("bucket", "i", "j").applyInArrow(name, columns), "named")
+    full = _full_sets(named.select("g"), nodes, docs, id_col, text_col, size)
+
+    def confirm(block: pa.Table) -> pa.Table:
+        g, component = block.column("g").to_numpy(), block.column("component").to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in block.column("s").to_pylist()]
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
 
-    def meet(group: pa.Table) -> pa.Table:
-        other = np.asarray(group.column("other").to_numpy(zero_copy_only=False), dtype=bool)
-        g, c, n = (group.column(x).to_numpy() for x in ("g", "component", "n"))
-        wide, narrow = _parts(group.column("sig"))
-        one, two = np.flatnonzero(other), np.flatnonzero(~other)
-        bands = wide.view(np.uint64)  # a band is four values of 16 bits
-        here = group.column("bucket")[0].as_py() % BANDS if len(g) else 0
         a, b = [], []
-        for i in one:
-            fit = two[(c[two] != c[i]) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)]
-            fit = fit[(bands[fit] == bands[i]).argmax(axis=1) == here]  # a pair counts in its first band
-            fit = fit[(wide[fit] == wide[i]).sum(axis=1) + (narrow[fit] == narrow[i]).sum(axis=1) >= least]
-            a.append(np.full(len(fit), g[i]))
-            b.append(g[fit])
-        none = np.zeros(0, dtype=np.int64)
-        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        for i, fit in _candidates(block, percent, least):
+            for k in fit.tolist():
+                x, y = top(component[i]), top(component[k])
+                if x != y and _similar(sets[i], sets[k], percent):
+                    above[x] = y
+                    a.append(max(g[i], g[k]))
+                    b.append(min(g[i], g[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return every.unionByName(others).groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return named.join(full, "g").groupBy("bucket", "i", "j").applyInArrow(confirm, "a bigint, b bigint").distinct()
 
 
 def _answers(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, sha: bool = True) -> DataFrame:
@@ -301,21 +362,17 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, percent: int, size: in
     nodes = staged(base.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("top"), F.first("sig").alias("sig"))
                    .withColumn("g", F.monotonically_increasing_id()), "nodes")
     keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).bitwiseAND(-BANDS).bitwiseOR(b) for b in range(BANDS)]
-    rows = nodes.select("g", F.explode(F.array(*keys)).alias("bucket"))
+    rows = nodes.select("g", "n", F.explode(F.array(*keys)).alias("bucket"))
     sizes = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
     members = staged(_perhaps(rows, "bucket", sizes.select("bucket")).join(sizes, "bucket"), "members")
     central = members.groupBy("g").agg(F.sum("k").alias("weight"))
     members = staged(members.drop("k").join(central, "g"), "members")
     met = staged(_perhaps(nodes, "g", members.select("g")), "met")
-    tried, links = None, None
-    for search in (_hubs, _second_hubs, _rest):
-        pairs = search(members, met, None if links is None else components(links), percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(_possible(pairs, met, percent) if search is not _rest else pairs, "pairs")
-        new = _linked(pairs, met, docs, id_col, text_col, percent, size)
-        links = staged(new if links is None else links.unionByName(new), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    pairs = staged(_possible(_hubs(members), met, percent), "pairs")
+    links = staged(_linked(pairs, met, docs, id_col, text_col, percent, size), "links")
+    more = _possible(_second_hubs(members, components(links)), met, percent).join(pairs, ["a", "b"], "left_anti")
+    links = staged(links.unionByName(_linked(staged(more, "pairs"), met, docs, id_col, text_col, percent, size)), "links")
+    links = staged(links.unionByName(_rest(members, met, components(links), docs, id_col, text_col, percent, size)).distinct(), "links")
     found = components(links)
     degree = links.select(F.col("a").alias("g")).unionByName(links.select(F.col("b").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("g", "n", "f1", "f2", "top").join(found.withColumnRenamed("node", "g"), "g", "left").join(degree, "g", "left")
@@ -331,7 +388,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked where ``100 * intersection >= percent * union`` of their sets of
     shingles of ``size`` words;
     ``component_id`` is the smallest id reachable, ``kept`` marks that document, ``links`` counts the
-    other sets a document's set was confirmed against (not its copies). Null and empty texts have no
+    other sets that a document's set was confirmed against (not its copies, nor sets that others had
+    connected already). Null and empty texts have no
     shingles, are linked with nothing and stay. Ties take the smallest id; rows repeated with an id
     in a group are all marked, and so are null ids in a group without any other (:func:`drop_near`
     keeps one of them); null ids come after all others. Other columns are

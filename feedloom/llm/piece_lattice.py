@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
@@ -21,7 +22,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import runs, text_udf
+from feedloom.llm.common import fresh, runs, shared, text_udf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -268,10 +269,10 @@ def encode_column(text: Column, key: Column, pieces: Pieces, seed: int = 0) -> C
 
     Rows of equal key and text get equal ids. Whole texts are encoded; white space is kept as it is.
     """
-    shared = _broadcast(pieces)
+    sent = _broadcast(pieces)
 
     def make():
-        work = _sampler(shared.value, seed)
+        work = _sampler(sent(), seed)
         return lambda column, keys: pa.concat_arrays([_listed([]), *(_listed(work(data, keys.slice(at, len(data)))) for at, data in runs(column))])
 
     return text_udf(make, "array<int>")(text, key.cast("bigint"))
@@ -279,28 +280,31 @@ def encode_column(text: Column, key: Column, pieces: Pieces, seed: int = 0) -> C
 
 def decode_column(ids: Column, pieces: Pieces) -> Column:
     """The text of piece ids; null for null, empty for none. Undoes :func:`encode_column` exactly."""
-    shared = _broadcast(pieces)
+    sent = _broadcast(pieces)
 
     def make():
-        known = shared.value
+        known = sent()
         return lambda column: pa.array([None if r is None else known.decode(r).decode("utf-8", "replace") for r in column.to_pylist()], type=pa.string())
 
     return text_udf(make, "string")(ids)
 
 
-def _broadcast(pieces: Pieces):
-    return SparkSession.getActiveSession().sparkContext.broadcast(pieces)
+def _broadcast(pieces: Pieces) -> Callable[[], Pieces]:
+    return shared(SparkSession.getActiveSession(), pieces)
 
 
 def encode_checked(docs: DataFrame, pieces: Pieces, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, out_col: str = "encoded") -> DataFrame:
     """``docs`` with a struct of the sampled ``ids`` and ``lossless``: whether decoding them gives the text back.
 
+    ``out_col`` must be a new name; a column of ``docs`` is never replaced.
     Both are made in one visit of the row, so ids do not travel to a worker again for the check.
     """
-    shared = _broadcast(pieces)
+    if fresh(out_col, docs.columns) != out_col:
+        raise ValueError(f"there is a column {out_col} already, name another one as out_col")
+    sent = _broadcast(pieces)
 
     def make():
-        known = shared.value
+        known = sent()
         work = _sampler(known, seed)
 
         def both(column, keys):
