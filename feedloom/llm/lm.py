@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_fold, runs, staged
+from feedloom.llm.common import crc_fold, runs, shared, staged
 from feedloom.llm.elias_fano import EliasFano, Level, Quantised
 
 #: Word numbers have this many bits: 0 is any other word, the last two are the end and the beginning.
@@ -109,8 +109,8 @@ def _gram_counts(training: DataFrame, frequent, pairs) -> DataFrame:
     bits = WORD_BITS
 
     def count(batches):
-        number = frequent.value.numbers()
-        known = pairs.value if pairs is not None else None
+        number = frequent().numbers()
+        known = pairs() if pairs is not None else None
 
         def keys(data):
             ids, _, _ = _ids(data, number)
@@ -192,9 +192,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     ends = training.count()
     top = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(WORDS).toPandas()
     frequent = Frequent(top["word"].tolist(), top["c"].to_numpy(dtype=np.int64), int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
-    shared = spark.sparkContext.broadcast(frequent)
-    pair, pair_c = _kept(_gram_counts(training, shared, None), entries)
-    triple, triple_c = _kept(_gram_counts(training, shared, spark.sparkContext.broadcast(pair)), entries)
+    sent = shared(spark, frequent)
+    pair, pair_c = _kept(_gram_counts(training, sent, None), entries)
+    triple, triple_c = _kept(_gram_counts(training, sent, shared(spark, pair)), entries)
     model = Model.build(frequent, pair, pair_c, triple, triple_c)
     return Model(model.frequent, model.first_spare, model.levels, counts)
 
@@ -257,10 +257,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     are scored. A word that is not frequent meets its exact count in a join; such words are spread
     over many keys by nature, as frequent ones never enter it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.frequent, model.first_spare, model.levels))
+    sent = shared(docs.sparkSession, Model(model.frequent, model.first_spare, model.levels))
 
     def work(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(sent())
         for batch in batches:
             for at, data in runs(batch.column(1)):
                 ids = batch.column(0).slice(at, len(data)).to_pylist()
