@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,3 +253,64 @@ def qa_nbest(
     return kept.join(per, qid).select(
         qid, "place", "text", (F.exp(-F.col("neg") - F.col("_m")) / F.col("_sum")).alias("probability"), "answer"
     )
+
+
+def answer_candidates(
+    windows: DataFrame, qid: str, window: str, tokens: str, places: str, best_context: str, starts: str, ends: str,
+    words: str, n_best: int, max_length: int,
+) -> DataFrame:
+    """Spans of the ``n_best`` starts and the ``n_best`` ends of each window that can be answers.
+
+    A row of ``windows`` is one window of a question: arrays of equal length hold its ``tokens``, the
+    word of the text that a token belongs to (``places``, null outside of the text), whether the
+    window shows the token with the most context (``best_context``) and its ``starts`` and ``ends``
+    logits, which may be longer; ``words`` are those of the whole text. Every start is crossed with
+    every end, both taken by falling logit, then by place; a span counts if both lie within the
+    tokens and in the text, the start has its best context here, the end is not before the start and
+    the span is at most ``max_length`` tokens. The crossing is ``n_best ** 2`` at most and stays in
+    its row. ``text`` is that of the words, ``rank`` orders equal scores by window, start and end.
+    """
+    def best(logits: str) -> Column:
+        listed = F.transform(logits, lambda x, i: F.struct((-x).alias("neg"), i.alias("at")))
+        return F.slice(F.array_sort(F.filter(listed, lambda x: x["neg"].isNotNull())), 1, n_best)
+
+    crossed = F.flatten(F.transform("_s", lambda s: F.transform("_e", lambda e: F.struct(
+        s["at"].alias("a"), e["at"].alias("b"), (-s["neg"]).alias("sl"), (-e["neg"]).alias("el")))))
+    fits = lambda x: (
+        (x["a"] < F.size(tokens)) & (x["b"] < F.size(tokens)) & F.get(places, x["a"]).isNotNull() & F.get(places, x["b"]).isNotNull()
+        & F.coalesce(F.get(best_context, x["a"]), F.lit(False)) & (x["b"] >= x["a"]) & (x["b"] - x["a"] < max_length))
+    rows = windows.withColumns({"_s": best(starts), "_e": best(ends)})
+    found = rows.select("*", F.explode(F.filter(crossed, fits)).alias("x"))
+    first, last = F.get(places, F.col("x.a")), F.get(places, F.col("x.b"))
+    return found.select(
+        qid, window, F.array_join(F.slice(words, first + 1, last - first + 1), " ").alias("text"),
+        F.col("x.sl").alias("start_logit"), F.col("x.el").alias("end_logit"), F.col("x.a").alias("start"), F.col("x.b").alias("end"),
+        F.struct(F.col(window).alias("window"), F.col("x.a").alias("start"), F.col("x.b").alias("end")).alias("rank"),
+    )
+
+
+def null_answers(windows: DataFrame, qid: str, window: str, starts: str, ends: str) -> DataFrame:
+    """``start_logit, end_logit`` of the empty answer: the window where the first token scores least, the first such."""
+    s, e = F.get(starts, F.lit(0)), F.get(ends, F.lit(0))
+    least = windows.groupBy(qid).agg(F.min(F.struct((s + e).alias("sum"), F.col(window).alias("w"), s.alias("s"), e.alias("e"))).alias("n"))
+    return least.select(qid, F.col("n.s").alias("start_logit"), F.col("n.e").alias("end_logit"))
+
+
+def answer_search(
+    windows: DataFrame, qid: str, window: str, tokens: str, places: str, best_context: str, starts: str, ends: str,
+    words: str, n_best: int = 20, max_length: int = 30, with_empty: bool = True, threshold: float = 0.0,
+) -> DataFrame:
+    """The n best answers of each question over all its windows, from the logits of their tokens.
+
+    Columns are those of :func:`answer_candidates` and :func:`qa_nbest`. A question without any
+    valid span has only the empty answer, or, without one, the answer ``empty`` of score 0.
+    """
+    names = (qid, window, tokens, places, best_context, starts, ends, words)
+    found = answer_candidates(windows, *names, n_best, max_length)
+    place = F.row_number().over(Window.partitionBy(qid).orderBy("rank"))
+    spans = found.withColumn("rank", place).select(qid, "text", "start_logit", "end_logit", "rank")
+    if with_empty:
+        return qa_nbest(spans, qid, n_best, null_answers(windows, qid, window, starts, ends), threshold)
+    none = windows.select(qid).distinct().join(spans.select(qid).distinct(), qid, "left_anti")
+    spans = spans.unionByName(none.select(qid, F.lit("empty").alias("text"), F.lit(0.0).alias("start_logit"), F.lit(0.0).alias("end_logit"), F.lit(0).alias("rank")))
+    return qa_nbest(spans, qid, n_best)

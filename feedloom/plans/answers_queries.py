@@ -85,6 +85,38 @@ def _(t):
     return curve.agg(F.round(100 * F.sum("ap_part"), 6).alias("pr_f1_ap"))
 
 
+@check("em_exact_threshold", "qa", f"""
+WITH {V2_SQL}, q2 AS (SELECT sc.*, prediction FROM sc JOIN qa USING (qid)),
+s AS (SELECT qid, na_prob, CASE WHEN has_answer THEN exact WHEN prediction <> '' THEN -1 ELSE 0 END AS d FROM q2),
+r AS (SELECT *, sum(d) OVER (ORDER BY na_prob, qid) AS run FROM s), b AS (SELECT max(run) AS best FROM r),
+n2 AS (SELECT count(*) FILTER (WHERE NOT has_answer) AS none, count(*) AS total FROM sc)
+SELECT round(100.0 * (none + greatest(best, 0)) / total, 6)::DOUBLE AS best_exact,
+  CASE WHEN best > 0 THEN (SELECT min(na_prob) FROM r WHERE run = best) ELSE 0.0 END AS best_exact_thresh FROM b, n2""")
+def _(t):
+    out = Q.best_threshold(v2_scores(t), "qid", "exact", "na_prob", "has_answer", "prediction")
+    return out.select(F.round("best_score", 6).alias("best_exact"), F.col("best_threshold").alias("best_exact_thresh"))
+
+
+def _curve_sql(score: str) -> str:
+    return f"""
+WITH {V2_SQL}, g AS (SELECT na_prob, sum(CASE WHEN has_answer THEN {score} ELSE 0 END)::DOUBLE AS tp, count(*) AS n FROM sc GROUP BY 1),
+c2 AS (SELECT na_prob, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY na_prob)),
+p AS (SELECT count(*) FILTER (WHERE has_answer) AS has FROM sc)
+SELECT round(na_prob, 9) AS na_prob, round(ctp / cn, 9) AS "precision", round(ctp / has, 9) AS recall, round(ctp / cn * tp / has, 9) AS ap_part FROM c2, p"""
+
+
+@check("em_exact_curve", "qa", _curve_sql("exact"))
+def _(t):
+    return rounded(Q.precision_recall_curve(v2_scores(t), "exact", "na_prob", F.col("has_answer")), 9)
+
+
+@check("em_oracle_curve", "qa", _curve_sql("1"))
+def _(t):
+    """An answer counts as found wherever there is one, whatever was predicted."""
+    scores = v2_scores(t).withColumn("oracle", F.col("has_answer").cast("double"))
+    return rounded(Q.precision_recall_curve(scores, "oracle", "na_prob", F.col("has_answer")), 9)
+
+
 @check("oracle_em", "qa", f"""
 SELECT round(100 * avg(coalesce(contains(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(prediction), '[!-/:-@\\[-`{{-~‘’´]', ' ', 'g'), '\\s+'),
     lambda w: w NOT IN ('', 'a', 'an', 'the')), ' '), lower(split_part(truth, ' ', 2))), false)::INT), 6) AS oracle_exact_match,

@@ -14,7 +14,7 @@ _ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "dataset", "scans", "joins", "aggregates", "timelines", "text", "recommender",
-    "corpus", "answers", "detection", "reuse", "streams",
+    "corpus", "answers", "detection", "reuse", "streams", "mechanisms",
 )
 
 
