@@ -148,12 +148,12 @@ def masked_lm(rows: DataFrame, keys: Sequence[str], tokens: str, positions: str,
     return out.select(*keys, "pos", "label", token.alias("token"))
 
 
-def ngram_positions(spans: str, count: Column, most: int, key: Column, seed: int) -> Column:
-    """Sorted positions of non-overlapping runs of up to ``most`` neighbouring words, ``count`` tokens at most.
+def ngram_spans(spans: str, count: Column, most: int, key: Column, seed: int) -> Column:
+    """Non-overlapping runs [begin, end) of up to ``most`` neighbouring words, ``count`` tokens at most, in order.
 
     All runs of a row are put in a weighted random order (weight 1/n for n words: the exponential
     draw of a run is multiplied by n, the smallest comes first); then every run is taken that still
-    fits and meets no run taken before.
+    fits and meets no run taken before. With ``most`` 1 whole words are taken.
     """
     def of_size(words, n):
         def run(i):
@@ -166,12 +166,51 @@ def ngram_positions(spans: str, count: Column, most: int, key: Column, seed: int
         return F.filter(F.transform(starts, run), lambda r: r["whole"])
 
     def take(taken, r):
-        meets = F.exists(taken, lambda p: (p >= r["begin"]) & (p < r["end"]))
-        fits = F.size(taken) + r["end"] - r["begin"] <= count
-        return F.when(fits & ~meets, F.concat(taken, F.sequence(r["begin"], r["end"] - 1))).otherwise(taken)
+        meets = F.exists(taken, lambda t: (t["begin"] < r["end"]) & (t["end"] > r["begin"]))
+        used = F.aggregate(taken, F.lit(0), lambda acc, t: acc + t["end"] - t["begin"])
+        fits = used + r["end"] - r["begin"] <= count
+        return F.when(fits & ~meets, F.concat(taken, F.array(F.struct(r["begin"].alias("begin"), r["end"].alias("end"))))).otherwise(taken)
 
     runs = let(F.col(spans), lambda words: F.array_sort(F.concat(*[of_size(words, n) for n in range(1, most + 1)])))
-    return F.array_sort(F.aggregate(runs, F.expr("cast(array() as array<int>)"), take))
+    return F.array_sort(F.aggregate(runs, F.expr("cast(array() as array<struct<begin: int, end: int>>)"), take))
+
+
+def ngram_positions(spans: str, count: Column, most: int, key: Column, seed: int) -> Column:
+    """Sorted positions of the runs of :func:`ngram_spans`."""
+    taken = ngram_spans(spans, count, most, key, seed)
+    return F.flatten(F.transform(taken, lambda t: F.sequence(t["begin"], t["end"] - 1)))
+
+
+def masked_grams(rows: DataFrame, keys: Sequence[str], tokens: str, grams: str, vocab: DataFrame, vocab_size: int, key: Column, seed: int) -> DataFrame:
+    """(keys, begin, pos, label, token): what stands in place of each token of the picked grams.
+
+    One draw decides for a whole gram [begin, end): four in five become masks throughout, one in ten
+    stays, and in one in ten every token is a random vocabulary word of its own (``word``, dense
+    ``id``), found by its number.
+    """
+    picked = rows.select(*keys, key.alias("_k"), tokens, F.explode(grams).alias("_g"))
+    picked = picked.withColumn("_u", unit("_k", F.col("_g.begin"), seed))
+    each = picked.select(*keys, "_k", "_u", tokens, F.col("_g.begin").alias("begin"), F.explode(F.sequence(F.col("_g.begin"), F.col("_g.end") - 1)).alias("pos"))
+    each = each.select(*keys, "_k", "_u", "begin", "pos", F.get(tokens, F.col("pos")).alias("label"))
+    # Tokens that need no word get spread-out numbers below 0: nulls would all meet in one task.
+    none = -1 - F.pmod(F.xxhash64("_k", "pos"), F.lit(1 << 31))
+    word_no = F.when(F.col("_u") >= 0.9, draw(F.lit(vocab_size), "_k", F.col("pos"), seed + 1)).otherwise(none)
+    out = each.withColumn("id", word_no).join(vocab.select("id", "word"), "id", "left")
+    token = F.when(F.col("_u") < 0.8, MASK).when(F.col("_u") < 0.9, F.col("label")).otherwise(F.col("word"))
+    return out.select(*keys, "begin", "pos", "label", token.alias("token"))
+
+
+def masked_sequences(rows: DataFrame, keys: Sequence[str], tokens: str, masked: DataFrame) -> DataFrame:
+    """(keys, tokens, positions, labels): the sequences with their masked tokens put in, and what was there.
+
+    ``masked`` is what :func:`masked_lm` or :func:`masked_grams` gave; a sequence without any is
+    returned as it is. The masked tokens of a sequence are bounded by its length.
+    """
+    put = masked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "label", "token"))).alias("_m"))
+    both = rows.select(*keys, tokens).join(put, list(keys), "left").withColumn("_m", F.coalesce("_m", F.expr("cast(array() as array<struct<pos: int, label: string, token: string>>)")))
+    place = F.map_from_arrays(F.transform("_m", lambda m: m["pos"]), F.transform("_m", lambda m: m["token"]))
+    filled = let(place, lambda at: F.transform(tokens, lambda t, i: F.coalesce(F.element_at(at, i), t)))
+    return both.select(*keys, filled.alias("tokens"), F.transform("_m", lambda m: m["pos"]).alias("positions"), F.transform("_m", lambda m: m["label"]).alias("labels"))
 
 
 def span_mask(spans: Column, tokens: Column, most: int) -> Column:

@@ -193,6 +193,65 @@ def _(t):
     return out.select("doc_id", "seg", F.size("p").alias("n"), text_of("p").alias("positions"))
 
 
+def _grams_sql(most: int) -> str:
+    """Runs of up to ``most`` words taken by recursion over their random order, and what each becomes."""
+    key = "doc_id * 10000 + seg"
+    return SEQ_SQL + f""",
+ps AS (SELECT doc_id, seg, len(tokens) AS n, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM sq),
+m AS (SELECT *, lag(token) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS p FROM ps),
+bg AS (SELECT * FROM m WHERE token IN ('[CLS]', '[SEP]') OR NOT starts_with(token, '##') OR p IS NULL OR p IN ('[CLS]', '[SEP]')),
+e AS (SELECT *, lead(pos, 1, n) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS nxt FROM bg),
+w AS (SELECT doc_id, seg, pos AS b, nxt AS e, n, row_number() OVER (PARTITION BY doc_id, seg ORDER BY pos) AS k, sum(nxt - pos) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS held
+  FROM e WHERE token NOT IN ('[CLS]', '[SEP]')),
+rn AS (SELECT x.doc_id, x.seg, x.b, y.e, x.n, -ln(1 - {h_sql('x.doc_id * 10000 + x.seg', f'x.b * {most + 1} + y.k - x.k + 1', 71)} / 2147483647.0::DOUBLE) * (y.k - x.k + 1) AS wh
+  FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.seg = y.seg AND y.k BETWEEN x.k AND x.k + {most - 1} AND y.held - x.held + x.e - x.b = y.e - x.b),
+o AS (SELECT doc_id, seg, b, e, row_number() OVER (PARTITION BY doc_id, seg ORDER BY wh, b, e) AS r,
+  least(20, greatest(1, CASE WHEN (n * 15) % 100 = 50 THEN (n * 15 // 100) + (n * 15 // 100) % 2 ELSE round(n * 0.15) END)) AS most FROM rn),
+rec(doc_id, seg, r, b, e, taken, ok) AS (
+  SELECT doc_id, seg, r, b, e, CASE WHEN e - b <= most THEN range(b, e) ELSE []::BIGINT[] END, e - b <= most FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.doc_id, o.seg, o.r, o.b, o.e, CASE WHEN len(taken) + o.e - o.b <= most AND len(list_intersect(taken, range(o.b, o.e))) = 0 THEN list_concat(taken, range(o.b, o.e)) ELSE taken END,
+    len(taken) + o.e - o.b <= most AND len(list_intersect(taken, range(o.b, o.e))) = 0
+  FROM rec JOIN o ON o.doc_id = rec.doc_id AND o.seg = rec.seg AND o.r = rec.r + 1 WHERE len(taken) < most),
+v AS (SELECT token AS word, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT token FROM tokens GROUP BY 1 HAVING count(*) >= 5)),
+g AS (SELECT doc_id, seg, b, unnest(range(b, e)) AS pos, {h_sql(key, 'b', 75)} / 2147483647.0::DOUBLE AS u FROM rec WHERE ok),
+dr AS (SELECT g.*, {h_sql(key, 'pos', 76)} % (SELECT count(*) FROM v) AS id FROM g),
+ml AS (SELECT dr.doc_id, dr.seg, b, dr.pos, ps.token AS label, CASE WHEN u < 0.8 THEN '[MASK]' WHEN u < 0.9 THEN ps.token ELSE v.word END AS token
+  FROM dr JOIN ps ON ps.doc_id = dr.doc_id AND ps.seg = dr.seg AND ps.pos = dr.pos LEFT JOIN v ON v.id = dr.id)"""
+
+
+def _masked_grams(t, most):
+    often = t.tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 5").select(F.col("token").alias("word"))
+    vocab = staged(with_position(staged(often), ["word"], name="id"))
+    count = C.mask_count(F.size("tokens"), 0.15, 20)
+    words = sequences(t).withColumn("words", C.gram_spans("tokens"))
+    rows = staged(words.select("doc_id", "seg", "tokens", C.ngram_spans("words", count, most, row_key(), 71).alias("grams")))
+    return rows, C.masked_grams(rows, ["doc_id", "seg"], "tokens", "grams", vocab, vocab.count(), row_key(), 75)
+
+
+_ML_SQL = 'SELECT doc_id, seg, b::INT AS begin, pos::INT AS pos, label, token FROM ml'
+
+
+@check("masked_lm_whole_words", "tokens", f"WITH RECURSIVE {_grams_sql(1)} {_ML_SQL}")
+def _(t):
+    return _masked_grams(t, 1)[1]
+
+
+@check("masked_lm_grams", "tokens", f"WITH RECURSIVE {_grams_sql(3)} {_ML_SQL}")
+def _(t):
+    return _masked_grams(t, 3)[1]
+
+
+@check("masked_lm_sequences", "tokens", f"""
+WITH RECURSIVE {_grams_sql(3)}, f AS (SELECT doc_id, seg, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, string_agg(label, ' ' ORDER BY pos) AS labels FROM ml GROUP BY 1, 2),
+z AS (SELECT ps.doc_id, ps.seg, string_agg(coalesce(ml.token, ps.token), ' ' ORDER BY ps.pos) AS tokens FROM ps LEFT JOIN ml ON ml.doc_id = ps.doc_id AND ml.seg = ps.seg AND ml.pos = ps.pos GROUP BY 1, 2)
+SELECT doc_id, seg, tokens, coalesce(positions, '') AS positions, coalesce(labels, '') AS labels FROM z LEFT JOIN f USING (doc_id, seg)""")
+def _(t):
+    rows, masked = _masked_grams(t, 3)
+    out = C.masked_sequences(rows, ["doc_id", "seg"], "tokens", masked)
+    return out.select("doc_id", "seg", F.array_join("tokens", " ").alias("tokens"), text_of("positions").alias("positions"), F.array_join("labels", " ").alias("labels"))
+
+
 @check("wordpieces_to_grams", sql=f"""
 WITH {SEQ_SQL}, ps AS (SELECT doc_id, seg, len(tokens) AS n, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM sq),
 m AS (SELECT *, lag(token) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS p FROM ps),
