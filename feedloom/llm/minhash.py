@@ -50,7 +50,7 @@ class _Words(dict):
     """64-bit word hashes, remembered while a task works."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

@@ -29,7 +29,7 @@ MARK = "▁"
 #: Weight of a piece: (its rank in the vocabulary + 2) to the power of minus this.
 POWER = 0.5
 #: Lattice edges a task keeps before it starts anew.
-KEEP_EDGES = 3_000_000
+KEEP_EDGES = 1_500_000
 DRAW_BITS = 24
 #: Stands for a mark character that is part of a text.
 _OWN_MARK = 0x1FFFFF
