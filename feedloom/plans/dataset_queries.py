@@ -35,25 +35,15 @@ def _(t):
     )
 
 
-@check("map_inflate", sql="""
-SELECT doc_id, t AS a, t AS b, substr(t, 1, length(t) // 2) AS half FROM (
-  SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents)""")
-def _(t):
-    ascii_text = F.regexp_replace("text", "[^ -~]", "")
-    from feedloom.functions.text import half_bytes
-
-    return t.documents.select("doc_id", ascii_text.alias("a"), ascii_text.alias("b")).select(
-        "*", half_bytes("a").alias("half")
-    )
+for _name in ("map_inflate", "map_inflate_bytes"):
 
-
-@check("map_inflate_bytes", sql="""
+    @check(_name, sql="""
 SELECT doc_id, text AS a, text AS b, substr(hex(encode(text)), 1, strlen(text) // 2 * 2) AS half FROM documents""")
-def _(t):
-    """The whole text twice and the first half of its bytes; in hex, as a character may be cut."""
-    from feedloom.functions.text import half_bytes
+    def _(t):
+        """The whole text twice and the first half of its bytes; in hex, as a character may be cut."""
+        from feedloom.functions.text import half_bytes
 
-    return t.documents.select("doc_id", F.col("text").alias("a"), F.col("text").alias("b"), F.hex(half_bytes("text")).alias("half"))
+        return t.documents.select("doc_id", F.col("text").alias("a"), F.col("text").alias("b"), F.hex(half_bytes("text")).alias("half"))
 
 
 @check("filter_predicate", sql="""
