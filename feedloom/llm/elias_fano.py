@@ -47,18 +47,28 @@ class EliasFano:
         total = np.concatenate([[0], np.cumsum(zeros)])
         return EliasFano(n, bits, low, high, total[:-1].astype(np.uint32))
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Where the ``k``-th zero (from 0) stands."""
-        word = np.searchsorted(self.before, k, side="right") - 1
-        left = k - self.before[word]
-        bitmap, spot = ~self.high[word], np.zeros(len(k), dtype=np.uint64)
-        left = left.astype(np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):  # the half that holds the zero, six times
+    @staticmethod
+    def _spot(bitmap: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Where the ``left``-th one (from 0) of each 64-bit word stands: the half that holds it, six times."""
+        left, spot = left.astype(np.uint64), np.zeros(len(left), dtype=np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):
             half = np.bitwise_count((bitmap >> spot) & np.uint64((1 << width) - 1)).astype(np.uint64)
             far = left >= half
             left = np.where(far, left - half, left)
             spot = np.where(far, spot + np.uint64(width), spot)
-        return (word << 6) + spot.astype(np.int64)
+        return spot.astype(np.int64)
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Where the ``k``-th zero (from 0) stands."""
+        word = np.searchsorted(self.before, k, side="right") - 1
+        return (word << 6) + self._spot(~self.high[word], k - self.before[word])
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at the places ``i``."""
+        ones = (np.arange(len(self.before), dtype=np.int64) << 6) - self.before
+        word = np.searchsorted(ones, i, side="right") - 1
+        spot = (word << 6) + self._spot(self.high[word], i - ones[word])
+        return (spot - i - 1 << self.bits) + self._low(i).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -95,56 +105,64 @@ class EliasFano:
         return ((ones - np.arange(self.size) - 1).astype(np.uint64) << np.uint64(self.bits)) | self._low(np.arange(self.size))
 
 
-@dataclass(frozen=True)
-class Quantised:
-    """Numbers in 256 steps: each step stands for the mean of an equal share of them."""
+#: Steps a power of ten is divided into; 16 bits reach down to 1e-32.
+STEPS = 2048
 
-    codes: np.ndarray
-    book: np.ndarray
 
-    @staticmethod
-    def build(values: np.ndarray) -> Quantised:
-        if not len(values):
-            return Quantised(np.zeros(0, dtype=np.uint8), np.zeros(256))
-        edges = np.quantile(values, np.linspace(0, 1, 257)[1:-1])
-        codes = np.searchsorted(edges, values, side="right").astype(np.uint8)
-        n = np.bincount(codes, minlength=256)
-        return Quantised(codes, np.bincount(codes, weights=values, minlength=256) / np.maximum(n, 1))
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return self.book[self.codes[at]]
+def quantised(logp: np.ndarray) -> np.ndarray:
+    """Log10 probabilities as 16-bit numbers of steps, the same everywhere: at most half a step off."""
+    return np.clip(np.rint(logp * -STEPS), 0, 65_535).astype(np.uint16)
 
 
 @dataclass(frozen=True)
 class Level:
-    """The n-grams of one order: a child is its parent's place and its own word as one rising number.
+    """The n-grams of one order below their contexts.
 
-    The sequence is pointer and word list at once: a context's children are those between its own
-    number and the next one's. ``logp`` are smoothed log10 probabilities, ``spare`` the log10 share
-    left for words that do not follow here.
+    ``pointers`` holds where each context's children begin (plus the context's own place, so that it
+    rises strictly). ``keys`` holds the children's words, counted from the last number of the
+    contexts before, so the sequence rises over all contexts. ``codes`` are the quantised smoothed
+    log10 probabilities.
     """
 
+    pointers: EliasFano
     keys: EliasFano
-    logp: Quantised
-    spare: Quantised
-    word_bits: int
+    codes: np.ndarray
 
-    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.keys.find(parent.astype(np.uint64) << np.uint64(self.word_bits) | word.astype(np.uint64))
+    @staticmethod
+    def build(parent: np.ndarray, word: np.ndarray, contexts: int, logp: np.ndarray) -> Level:
+        """From n-grams in the order of (parent, word); words count from 1."""
+        begin = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=contexts))])
+        last = np.where(begin[1:] > begin[:-1], word[begin[1:] - 1], 0) if len(word) else np.zeros(contexts, dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(last)])
+        top = int(total[-1] + word.max(initial=0)) + 2
+        pointers = EliasFano.build(begin + np.arange(contexts + 1), len(word) + contexts + 2)
+        return Level(pointers, EliasFano.build(word + total[parent], top), quantised(logp))
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each context's children begin, with the end behind the last one, and the number they count from."""
+        begin = self.pointers.values().astype(np.int64) - np.arange(self.pointers.size)
+        return begin, np.where(begin > 0, self.keys.at(np.maximum(begin - 1, 0)), 0) if self.keys.size else begin
+
+    def find(self, parent: np.ndarray, word: np.ndarray, ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The place of each word below its context, or -1: the successor of the word, counted from the
+        context's own number, must lie in the context's range."""
+        begin, base = ranges
+        place = self.keys.find(base[parent] + word)
+        return np.where((place >= begin[parent]) & (place < begin[parent + 1]), place, -1)
+
+    def logp(self, place: np.ndarray) -> np.ndarray:
+        return self.codes[place] / -float(STEPS)
 
     def mapped(self) -> Level:
         """The same level with its arrays memory-mapped from an unnamed local file."""
-        fields = {}
+        arrays = [self.pointers.low, self.pointers.high, self.pointers.before, self.keys.low, self.keys.high, self.keys.before, self.codes]
         with tempfile.TemporaryFile() as file:
-            arrays = {"low": self.keys.low, "high": self.keys.high, "before": self.keys.before, "logp": self.logp.codes, "spare": self.spare.codes}
-            places = {}
-            for name, array in arrays.items():
+            places = []
+            for array in arrays:
                 file.seek(-(-file.tell() // 8) * 8)
-                places[name] = file.tell()
+                places.append(file.tell())
                 file.write(array.tobytes())
             file.flush()
-            for name, array in arrays.items():
-                fields[name] = np.memmap(file, dtype=array.dtype, mode="r", offset=places[name], shape=array.shape).view(np.ndarray) if len(array) else array
-        k = self.keys
-        return Level(EliasFano(k.size, k.bits, fields["low"], fields["high"], fields["before"]),
-                     Quantised(fields["logp"], self.logp.book), Quantised(fields["spare"], self.spare.book), self.word_bits)
+            found = [np.memmap(file, dtype=a.dtype, mode="r", offset=at, shape=a.shape).view(np.ndarray) if len(a) else a for a, at in zip(arrays, places, strict=True)]
+        p, k = self.pointers, self.keys
+        return Level(EliasFano(p.size, p.bits, *found[:3]), EliasFano(k.size, k.bits, *found[3:6]), found[6])

@@ -1,284 +1,347 @@
-"""Language-model scores: exact word counts and an interpolated n-gram model in an Elias-Fano trie.
+"""Language-model scores: an interpolated n-gram model over whole texts, in Elias-Fano tries.
 
-Words are split at white space with A-Z lowered; every text ends with one end token. Word counts are
-exact and complete: the frequent words travel with the model, the counts of all other words are
-joined to the texts that hold them. The model adds pairs and triples of frequent words, by absolute
-discounting over the add-one word probabilities, so a word never seen has a probability too:
+Words are split at white space with A-Z lowered; every text ends with one end token. The model is
+counted over all words, pairs and triples of all teaching texts, without a cap or a least count:
 
     P1(w)    = (c(w) + 1) / (N + V + 1)
-    P2(w|v)  = max(c(vw) - d, 0) / c(v) + spare(v) * P1(w)
-    P3(w|uv) = max(c(uvw) - d, 0) / c(uv) + spare(uv) * P2(w|v)
-
-Pairs and triples are counted over all training texts; the trie keeps those above a count that
-makes a level fit ``LEVEL_ENTRIES``, and ``spare`` takes up what is not kept, so probabilities still
-add up to one. What is broadcast is bounded by ``WORDS`` and ``LEVEL_ENTRIES``, not by the corpus.
+    P2(w|v)  = (c(vw) + PRIOR * P1(w)) / (c(v) + PRIOR)
+    P3(w|uv) = (c(uvw) + PRIOR * P2(w|v)) / (c(uv) + PRIOR)
+
+The first token of a text has the beginning as its only context. Probabilities of a context add up
+to one, a word never seen included.
+
+Nothing is broadcast and nothing but N and V passes the driver. Texts are dealt into chunks of about
+``CHUNK`` bytes. Each chunk names its distinct n-grams once, with how often its teaching texts hold
+them; these rows meet by n-gram, where the counts of all chunks are added up, and the sums go back to
+the chunks that asked and do not know them already. A task then holds one chunk and the part of the
+model that its texts can ask for, as a trie of its own, so memory follows the chunk and not the corpus.
+Words meet as text; pairs and triples as 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_fold, runs, shared, staged
-from feedloom.llm.elias_fano import EliasFano, Level, Quantised
+from feedloom.llm.common import crc_fold, runs, staged
+from feedloom.llm.elias_fano import Level
 
-#: Word numbers have this many bits: 0 is any other word, the last two are the end and the beginning.
-WORD_BITS = 16
-WORDS = (1 << WORD_BITS) - 3
-END, BEGIN = (1 << WORD_BITS) - 2, (1 << WORD_BITS) - 1
-#: A frequent word has at most this many bytes; pairs and triples are made of words up to this rank.
-WORD_BYTES, GRAM_WORDS = 64, 1 << 14
-LEVEL_ENTRIES, LEAST, DISCOUNT = 1 << 20, 2, 0.75
-#: Tokens counted at once in a task.
-TOKENS = 1 << 22
+#: Weight of the lower order, in tokens.
+PRIOR = 4.0
+#: Bytes of text in a chunk; a longer text is cut into pieces that know the two words before them.
+CHUNK = 8 << 20
+#: The end token as a word: no word holds white space.
+END = "\n"
 
+_PLACED = "chunk bigint, row bigint, doc_id bigint, teach boolean, text string, begins boolean, lead int, ends boolean"
+_ASKED = "key bigint, word string, chunk bigint, c bigint"
+_SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double"
 
-@dataclass(frozen=True)
-class Frequent:
-    """The most frequent words with their counts, and the totals of the training texts."""
 
-    words: list[str]
-    counts: np.ndarray
-    tokens: int
-    kinds: int
-    ends: int
+def pieces(text: bytes, most: int) -> Iterator[tuple[bytes, bool, int, bool]]:
+    """A text as ``(piece, begins, lead, ends)``.
 
-    @property
-    def total(self) -> float:
-        return float(self.tokens + self.kinds + 1)
+    A piece has about ``most`` bytes, or one longer word. ``lead`` words at its front repeat the end
+    of the piece before, two if there are as many; ``begins`` says that nothing stands before them.
+    """
+    if len(text) <= most:
+        yield text, True, 0, True
+        return
+    at, before = 0, []
+    while True:
+        stop = at + most
+        while stop < len(text) and text[stop] not in b" \t\n\x0b\x0c\r":
+            stop += 1
+        part, last = text[at:stop], stop >= len(text)
+        yield b" ".join([*before, part]), len(before) < 2, len(before), last
+        if last:
+            return
+        before = [*before, *part.split()][-2:]
+        at = stop
 
-    def numbers(self) -> dict[bytes, int]:
-        return {w.encode(): k for k, w in enumerate(self.words, 1)}
 
-    def single(self) -> np.ndarray:
-        """log10 P1 by word number; 0 for other words, whose counts are joined later."""
-        out = np.zeros(1 << WORD_BITS)
-        out[1 : len(self.words) + 1] = np.log10((self.counts + 1) / self.total)
-        out[END] = np.log10((self.ends + 1) / self.total)
-        return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word, c`` of one text column; counted in the tasks, then added up."""
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of its context and that of its last word."""
+    return _mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
-    def count(batches):
-        held: Counter = Counter()
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-            held.clear()
-            return out
+@dataclass(frozen=True)
+class Grams:
+    """The n-grams of a chunk by local number: words as in ``words`` (the end is the last), then the beginning.
 
+    ``new`` marks tokens that count here: all but beginnings and repeated words. ``pair`` and
+    ``triple`` are the distinct ``context * size + word``, a triple's context being its pair's place.
+    ``*_c`` are the counts in teaching texts, ``ids`` and ``start`` the texts one behind the other.
+    """
+
+    words: pa.Array
+    hashes: np.ndarray
+    ids: np.ndarray
+    start: np.ndarray
+    new: np.ndarray
+    word_c: np.ndarray
+    pair: np.ndarray
+    pair_c: np.ndarray
+    triple: np.ndarray
+    triple_c: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.words) + 1
+
+    @staticmethod
+    def of(text: pa.Array, teach: np.ndarray, begins: np.ndarray, lead: np.ndarray, ends: np.ndarray) -> Grams:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "").cast(pa.large_string())))
+        flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+        real = pc.not_equal(flat, "")
+        coded = flat.filter(real).dictionary_encode()
+        n = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
+        words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
+        end, begin = len(words) - 1, len(words)
+        sizes = n + begins + ends
+        stop = np.cumsum(sizes)
+        start = stop - sizes
+        total = int(sizes.sum())
+        ids, inner, new = np.empty(total, dtype=np.int64), np.ones(total, dtype=bool), np.ones(total, dtype=bool)
+        front, back = start[begins], (stop - 1)[ends]
+        ids[front], ids[back] = begin, end
+        inner[front] = inner[back] = new[front] = False
+        ids[inner] = coded.indices.to_numpy()
+        for k in np.flatnonzero(lead):  # only pieces of long texts have any
+            new[start[k] + begins[k] : start[k] + begins[k] + lead[k]] = False
+        taught, text_of = np.repeat(teach, sizes) & new, np.repeat(np.arange(len(text)), sizes)
+        word_c = np.bincount(ids[taught], minlength=len(words) + 1)[: len(words)]
+
+        def distinct(codes, at):
+            found, place = np.unique(codes, return_inverse=True)
+            return found, np.bincount(place, weights=taught[at], minlength=len(found)).astype(np.int64), place
+
+        m = len(words) + 1
+        first = np.flatnonzero(text_of[:-1] == text_of[1:])
+        pair, pair_c, place = distinct(ids[first] * m + ids[first + 1], first + 1)
+        third = np.flatnonzero(first[1:] == first[:-1] + 1)
+        at = first[third] + 2
+        third, at = third[new[at]], at[new[at]]
+        triple, triple_c, _ = distinct(place[third] * m + ids[at], at)
+        hashes = pd.util.hash_array(np.array([*words.to_pylist(), "\n\n"], dtype=object), categorize=False)
+        return Grams(words, hashes, ids, start, new, word_c, pair, pair_c, triple, triple_c)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the pairs and of the triples."""
+        two = _joined(self.hashes[self.pair // self.size], self.hashes[self.pair % self.size])
+        three = _joined(two[self.triple // self.size] ^ np.uint64(1), self.hashes[self.triple % self.size])
+        return two.view(np.int64), three.view(np.int64)
+
+    def logs(self, word_c: np.ndarray, pair_c: np.ndarray, triple_c: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of P1 by word, P2 by pair and P3 by triple, from the counts over all chunks."""
+        m = self.size
+        one = (word_c + 1.0) / (tokens + kinds + 1.0)
+        context = np.append(word_c, word_c[-1])  # as many beginnings as ends
+        one_all = np.append(one, 1.0)
+        two = (pair_c + PRIOR * one_all[self.pair % m]) / (context[self.pair // m] + PRIOR)
+        parent, word = self.triple // m, self.triple % m
+        lower = two[np.searchsorted(self.pair, self.pair[parent] % m * m + word)] if len(parent) else np.zeros(0)
+        three = (triple_c + PRIOR * lower) / (pair_c[parent] + PRIOR)
+        return np.log10(one), np.log10(two), np.log10(three)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a chunk that stand one behind the other, as one table."""
+    held, own = [], None
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and chunk[a] != own:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            own = chunk[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _grams(table: pa.Table) -> Grams:
+    flags = [table.column(c).to_numpy() for c in ("teach", "begins", "lead", "ends")]
+    return Grams.of(table.column("text").cast(pa.large_string()).combine_chunks(), *flags)
+
+
+def _placed(rows: DataFrame, most: int) -> DataFrame:
+    """Texts cut into pieces and dealt into chunks: odd chunks are scored, even ones only teach."""
+
+    def deal(batches):
+        base, row = TaskContext.get().partitionId() << 24, 0
+        run, held = [0, 0], [0, 0]
         for batch in batches:
-            for _, data in runs(batch.column(0)):
-                for text in data:
-                    held.update(text.lower().split())
-                if len(held) > 300_000:
-                    yield rows()
-        yield rows()
-
-    return training.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _ids(data: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word numbers of all texts in a row, each with BEGIN before and END behind; sizes with both; the words."""
-    split = [t.lower().split() for t in data]
-    sizes = np.array([len(w) + 2 for w in split], dtype=np.int64)
-    out = np.empty(int(sizes.sum()), dtype=np.int64)
-    stop = np.cumsum(sizes)
-    out[stop - sizes], out[stop - 1] = BEGIN, END
-    inner = np.ones(len(out), dtype=bool)
-    inner[stop - sizes] = inner[stop - 1] = False
-    words = [w for row in split for w in row]
-    out[inner] = np.fromiter(map(number.get, words, repeat(0)), dtype=np.int64, count=len(words))
-    return out, sizes, split
-
-
-def _usable(ids: np.ndarray) -> np.ndarray:
-    return ((ids > 0) & (ids <= GRAM_WORDS)) | (ids >= END)
-
-
-def _gram_counts(training: DataFrame, frequent, pairs) -> DataFrame:
-    """``key, c``: pairs ``v << bits | w``, or with the kept ``pairs`` triples ``place of uv << bits | w``."""
-    bits = WORD_BITS
-
-    def count(batches):
-        number = frequent().numbers()
-        known = pairs() if pairs is not None else None
-
-        def keys(data):
-            ids, _, _ = _ids(data, number)
-            good = _usable(ids)
-            both = good[:-1] & good[1:] & (ids[:-1] != END)
-            pair = np.where(both, ids[:-1] << bits | ids[1:], -1)
-            if known is None:
-                return pair[both]
-            if len(pair) < 2 or not len(known):
-                return pair[:0]
-            place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-            place = np.where(known[place] == pair, place, -1)
-            whole = (place[:-1] >= 0) & (place[1:] >= 0)
-            return (place[:-1] << bits | ids[2:])[whole]
-
-        def summed(parts):
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "c"])
-
-        parts, held = [], 0
-        for batch in batches:
-            for _, data in runs(batch.column(0)):
-                parts.append(keys(data))
-                held += len(parts[-1])
-                if held > TOKENS:
-                    yield summed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield summed(parts)
-
-    return training.mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _kept(counts: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys and counts at or above the least count that lets at most ``entries`` stay."""
-    counts = staged(counts.filter(F.col("c") >= LEAST), "grams")
-    shape = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toPandas()
-    fits = shape[shape["n"].cumsum() <= entries]
-    if not len(fits):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    got = counts.filter(F.col("c") >= int(fits["c"].min())).toArrow()
-    key, c = got.column("key").to_numpy(), got.column("c").to_numpy()
+            ids, teach, ask = (batch.column(c).to_pylist() for c in ("doc_id", "teach", "ask"))
+            for at, data in runs(batch.column("text")):
+                out = []
+                for k, text in enumerate(data, at):
+                    row += 1
+                    for part, begins, lead, ends in pieces(text, most):
+                        if held[ask[k]] and held[ask[k]] + len(part) > most:
+                            run[ask[k]] += 1
+                            held[ask[k]] = 0
+                        held[ask[k]] += len(part) + 1
+                        out.append(((base + run[ask[k]] << 1) + ask[k], (base << 16) + row, ids[k], teach[k], part, begins, lead, ends))
+                columns = list(zip(*out, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                arrays[4] = arrays[4].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "row", "doc_id", "teach", "text", "begins", "lead", "ends"])
+
+    return rows.mapInArrow(deal, _PLACED)
+
+
+def _asked(placed: DataFrame) -> DataFrame:
+    """``key, word, chunk, c``: the distinct n-grams of each chunk with their counts; ``word`` is null for pairs and triples."""
+
+    def name(batches):
+        for table in _chunks(batches):
+            grams = _grams(table)
+            chunk = table.column("chunk")[0].as_py()
+            two, three = grams.keys()
+            sets = [(grams.hashes[:-1].view(np.int64), grams.words.cast(pa.string()), grams.word_c),
+                    (two, None, grams.pair_c), (three, None, grams.triple_c)]
+            for key, words, c in sets:
+                for a in range(0, len(key), 1 << 17):
+                    size = len(key[a : a + (1 << 17)])
+                    word = words.slice(a, size) if words is not None else pa.nulls(size, pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), word, pa.array(np.full(size, chunk)), pa.array(c[a : a + size])], ["key", "word", "chunk", "c"])
+
+    return placed.mapInArrow(name, _ASKED)
+
+
+def _with_sums(grams: Grams, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts over all chunks: the chunk's own ones where no other was sent."""
+    word_c, pair_c, triple_c = grams.word_c.copy(), grams.pair_c.copy(), grams.triple_c.copy()
+    is_word = pc.is_valid(sums.column("word"))
+    word = sums.filter(is_word)
+    if len(word):
+        place = pc.index_in(word.column("word").cast(pa.large_string()).combine_chunks(), value_set=grams.words).to_numpy(zero_copy_only=False)
+        word_c[place.astype(np.int64)] = word.column("total").to_numpy()
+    rest = sums.filter(pc.invert(is_word))
+    key, total = rest.column("key").to_numpy(), rest.column("total").to_numpy()
     order = np.argsort(key)
-    return key[order], c[order]
+    key, total = key[order], total[order]
+    for own, c in zip(grams.keys(), (pair_c, triple_c), strict=True):
+        if len(key):
+            at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+            c[:] = np.where(key[at] == own, total[at], c)
+    return word_c, pair_c, triple_c
 
 
 @dataclass(frozen=True)
-class Model:
-    frequent: Frequent
-    first_spare: np.ndarray
-    levels: tuple[Level, Level]
-    training_words: DataFrame | None = None
+class Trie:
+    """A chunk's part of the model, its levels memory-mapped."""
+
+    two: Level
+    three: Level
 
     @staticmethod
-    def build(frequent: Frequent, pair: np.ndarray, pair_c: np.ndarray, triple: np.ndarray, triple_c: np.ndarray) -> Model:
-        bits, size = WORD_BITS, 1 << WORD_BITS
-        context = np.ones(size)
-        context[1 : len(frequent.words) + 1] = frequent.counts
-        context[BEGIN] = max(frequent.ends, 1)
-        own = (pair_c - DISCOUNT) / context[pair >> bits]
-        spare = 1.0 - np.bincount(pair >> bits, weights=own, minlength=size)
-        p1 = np.power(10.0, frequent.single())
-        p2 = own + spare[pair >> bits] * p1[pair & (size - 1)]
-        own3 = (triple_c - DISCOUNT) / pair_c[triple >> bits] if len(triple) else np.zeros(0)
-        spare3 = 1.0 - np.bincount(triple >> bits, weights=own3, minlength=len(pair)) if len(pair) else np.zeros(0)
-        lower = p2[np.searchsorted(pair, (pair[triple >> bits] & (size - 1)) << bits | triple & (size - 1))] if len(triple) else np.zeros(0)
-        p3 = own3 + (spare3[triple >> bits] * lower if len(triple) else 0.0)
-        two = Level(EliasFano.build(pair, size << bits), Quantised.build(np.log10(p2)), Quantised.build(np.log10(np.maximum(spare3, 1e-9))), bits)
-        three = Level(EliasFano.build(triple, max(len(pair), 1) << bits), Quantised.build(np.log10(p3)), Quantised.build(np.zeros(0)), bits)
-        return Model(frequent, np.log10(np.maximum(spare, 1e-9)), (two, three))
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, entries: int = LEVEL_ENTRIES) -> Model:
-    """Learn from all texts whose ``crc32(id) mod folds`` is not ``held_out``; a null text is empty, a null id teaches nothing."""
-    spark = docs.sparkSession
-    training = docs.filter(crc_fold(id_col, folds) != held_out).select(F.col(text_col).alias("t"))
-    counts = staged(word_counts(training), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = training.count()
-    top = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(WORDS).toPandas()
-    frequent = Frequent(top["word"].tolist(), top["c"].to_numpy(dtype=np.int64), int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
-    sent = shared(spark, frequent)
-    pair, pair_c = _kept(_gram_counts(training, sent, None), entries)
-    triple, triple_c = _kept(_gram_counts(training, sent, shared(spark, pair)), entries)
-    model = Model.build(frequent, pair, pair_c, triple, triple_c)
-    return Model(model.frequent, model.first_spare, model.levels, counts)
-
-
-class Scorer:
-    """A model in a task, its levels memory-mapped."""
-
-    def __init__(self, model: Model):
-        self.number = model.frequent.numbers()
-        self.single = model.frequent.single()
-        self.first_spare = model.first_spare
-        self.two, self.three = (level.mapped() for level in model.levels)
-        self.ends = model.frequent.ends
-
-    def score(self, data: list[bytes]) -> list[dict]:
-        """Of each text what the frequent words give, and the other words with how often they come."""
-        ids, sizes, split = _ids(data, self.number)
-        stop = np.cumsum(sizes)
-        start = stop - sizes
-        before, now = ids[:-1], ids[1:]  # a step ends at every token but the first of a text
-        step = np.ones(len(now), dtype=bool)
-        step[stop[:-1] - 1] = False
-        good = _usable(ids)
-        logp = self.first_spare[before] + self.single[now]
-        ask = np.flatnonzero(step & good[:-1] & good[1:])
-        place = np.full(len(now), -1, dtype=np.int64)
-        place[ask] = self.two.find(before[ask], now[ask])
-        hit = np.flatnonzero(place >= 0)
-        logp[hit] = self.two.logp[place[hit]]
-        context = np.concatenate([[-1], place[:-1]])
-        context[~step] = -1
-        context[start] = -1  # nothing stands before the beginning
-        deep = np.flatnonzero(context >= 0)
-        found = np.full(len(deep), -1, dtype=np.int64)
-        can = np.flatnonzero(good[1:][deep])
-        found[can] = self.three.find(context[deep[can]], now[deep[can]])
-        logp[deep] = np.where(found >= 0, self.three.logp[found] if self.three.keys.size else 0.0, self.two.spare[context[deep]] + logp[deep])
-        logp[~step] = 0.0
-        sums = np.add.reduceat(np.append(logp, 0.0), start)
-        base = np.add.reduceat(self.single[ids], start)
-        seen = np.add.reduceat(((ids > 0) & (ids < END)).astype(np.int64), start)
-        out = []
-        for k, words in enumerate(split):
-            part = ids[start[k] + 1 : stop[k] - 1]
-            other = Counter(words[i] for i in np.flatnonzero(part == 0).tolist())
-            out.append({"n_tokens": len(words) + 1, "n_known": int(seen[k]) + (self.ends > 0), "base": float(base[k]), "model": float(sums[k]),
-                        "rare": [{"word": w.decode(), "n": n} for w, n in other.items()]})
-        return out
-
-
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-_PART = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", _RARE)])
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def build(grams: Grams, two: np.ndarray, three: np.ndarray) -> Trie:
+        m = grams.size
+        return Trie(Level.build(grams.pair // m, grams.pair % m + 1, m, two).mapped(),
+                    Level.build(grams.triple // m, grams.triple % m + 1, len(grams.pair), three).mapped())
+
+    def walk(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """log10 probability of every token after the one or two before it in its text; 0 at a text's first place."""
+        logp, place = np.zeros(len(ids)), np.full(len(ids), -1, dtype=np.int64)
+        later = np.ones(len(ids), dtype=bool)
+        later[start[start < len(ids)]] = False
+        at = np.flatnonzero(later)
+        place[at] = self.two.find(ids[at - 1], ids[at] + 1, self.two.ranges())
+        logp[at] = self.two.logp(place[at])
+        deep = at[later[at - 1]]
+        if self.three.keys.size and len(deep):
+            found = self.three.find(place[deep - 1], ids[deep] + 1, self.three.ranges())
+            logp[deep[found >= 0]] = self.three.logp(found[found >= 0])
+        return logp
+
+
+def score_chunk(texts: pa.Table, sums: pa.Table, tokens: int, kinds: int) -> pa.Table:
+    """One row per piece of text: its tokens, those known, and its log10 probabilities."""
+    grams = _grams(texts)
+    counts = _with_sums(grams, sums)
+    one, two, three = grams.logs(*counts, tokens, kinds)
+    logp = Trie.build(grams, two, three).walk(grams.ids, grams.start)
+    taken = np.minimum(grams.ids, len(one) - 1)
+    edges = np.append(grams.start, len(grams.ids))
+
+    def summed(values):
+        total = np.concatenate([[0], np.cumsum(np.where(grams.new, values, 0))])
+        return total[edges[1:]] - total[edges[:-1]]
+
+    def summed_apart(values):
+        values = np.where(grams.new, values, 0.0)
+        return np.array([values[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+    return pa.table({
+        "row": texts.column("row"), "doc_id": texts.column("doc_id"),
+        "n_tokens": summed(np.ones(len(grams.ids), dtype=np.int64)), "n_known": summed((counts[0][taken] > 0).astype(np.int64)),
+        "base": summed_apart(one[taken]), "model": summed_apart(logp)})
+
+
+@dataclass(frozen=True)
+class Training:
+    """The texts that teach: ``doc_id, text, teach``, and the rows they were taken from."""
+
+    docs: DataFrame
+    rows: DataFrame
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> Training:
+    """Name the teaching texts: those whose ``crc32(id) mod folds`` is not ``held_out``; a null id teaches nothing.
+
+    The counting itself is done by :func:`score`, for teaching and scored texts at once.
+    """
+    teach = F.coalesce(crc_fold(id_col, folds) != held_out, F.lit(False))
+    return Training(docs, docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), teach.alias("teach")))
+
+
+def score(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``base_score`` sums log10 P1, ``score`` the model's log10 probability, both over the whole text
     and its end. Null and empty texts are their end token. Repeated rows are scored each; null ids
-    are scored. A word that is not frequent meets its exact count in a join; such words are spread
-    over many keys by nature, as frequent ones never enter it.
+    are scored. Texts that both teach and are scored are read once. No n-gram is hot: a chunk names
+    it once however often it holds it.
     """
-    sent = shared(docs.sparkSession, Model(model.frequent, model.first_spare, model.levels))
-
-    def work(batches):
-        scorer = Scorer(sent())
-        for batch in batches:
-            for at, data in runs(batch.column(1)):
-                ids = batch.column(0).slice(at, len(data)).to_pylist()
-                yield pa.RecordBatch.from_pylist([{"doc_id": i, **r} for i, r in zip(ids, scorer.score(data), strict=True)], schema=_PART)
-
-    ddl = "doc_id bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<struct<word:string,n:int>>"
-    parts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(work, ddl)
-    parts = staged(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(model.training_words, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = words.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(model.frequent.total))).alias("extra"))
-    extra = F.coalesce("extra", F.lit(0.0))
-    return parts.drop("rare").join(rest, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.frequent.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
+    if docs is training.docs:
+        rows = training.rows.withColumn("ask", F.lit(True))
+    else:
+        own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("teach"), F.lit(True).alias("ask"))
+        rows = own.unionByName(training.rows.filter("teach").withColumn("ask", F.lit(False)))
+    placed = staged(_placed(rows, chunk), "lm-texts")
+    same = Window.partitionBy("key", "word")
+    sums = _asked(placed).withColumn("total", F.sum("c").over(same))
+    odd = F.col("chunk") % 2 == 1
+    sums = staged(sums.filter(F.col("word").isNotNull() | odd & (F.col("total") != F.col("c"))).select("chunk", "key", "word", "total"), "lm-sums")
+    known = sums.filter("word IS NOT NULL AND total > 0").groupBy("word").agg(F.max("total").alias("total"))
+    seen = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens, kinds = int(seen[0]), int(seen[1])
+
+    def work(texts: pa.Table, found: pa.Table) -> pa.Table:
+        return score_chunk(texts, found, tokens, kinds)
+
+    parts = placed.filter(odd).groupBy("chunk").cogroup(sums.filter(odd).groupBy("chunk")).applyInArrow(work, _SCORED)
+    return parts.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")]).select(
+        "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 
 def per_token(score_col: Column, tokens: Column) -> Column:

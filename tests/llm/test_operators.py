@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from feedloom.llm import chat, decontaminate, elias_fano, exact_dedup, langid, lm, minhash, piece_lattice, quality, secrets, warc
 from feedloom.session import fresh_folder
@@ -262,46 +263,85 @@ def test_sampled_shares():
     assert all(abs(drawn[s] / n - math.exp(w) / total) < 0.02 for s, w in every.items())
 
 
-def test_language_model(docs, none):
-    model = lm.fit(docs)
-    got = lm.score(docs, model).collect()
-    counts = Counter()
-    for i, t in TEXTS:
-        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update([*plain(t).lower().split(), None])
+def plain_model(teach, ask, prior=lm.PRIOR):
+    """Plain counts of every order: ``(n_tokens, n_known, N, base, score)`` of each asked text."""
+    counts, pairs, triples = Counter(), Counter(), Counter()
+
+    def tokens(t):
+        return [*t.lower().split(), "</s>"]
+
+    for t in teach:
+        row = ["<s>", *tokens(t)]
+        counts.update(row)
+        pairs.update(zip(row, row[1:], strict=False))
+        triples.update(zip(row, row[1:], row[2:], strict=False))
+    begins = counts.pop("<s>", 0)
     n, v = sum(counts.values()), len(counts)
-    want = []
-    for i, t in TEXTS:
-        tokens = [*plain(t).lower().split(), None]
-        want.append((i, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), 3)))
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == Counter(want)
-    assert all(r.score <= 0 for r in got)
-    assert lm.score(docs, lm.fit(none)).count() == len(TEXTS) and lm.score(none, model).count() == 0
+    context = counts | {"<s>": begins}
+
+    def one(w):
+        return (counts[w] + 1) / (n + v + 1)
+
+    def two(v_, w):
+        return (pairs[v_, w] + prior * one(w)) / (context.get(v_, 0) + prior)
+
+    def three(u, v_, w):
+        return (triples[u, v_, w] + prior * two(v_, w)) / (pairs[u, v_] + prior)
+
+    out = []
+    for t in ask:
+        row = ["<s>", *tokens(t)]
+        logp = math.log10(two(*row[:2])) + sum(math.log10(three(*g)) for g in zip(row, row[1:], row[2:], strict=False))
+        out.append((len(row) - 1, sum(counts[w] > 0 for w in row[1:]), n, sum(math.log10(one(w)) for w in row[1:]), logp))
+    return out
+
+
+def assert_scores(got, ids, want):
+    """Rows equal to the plain ones, scores but for half a step a token."""
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    want = sorted(((i, *w) for i, w in zip(ids, want, strict=True)), key=key)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all(abs(g[4] - w[4]) < 1e-6 and abs(g[5] - w[5]) <= g[1] * 0.51 / elias_fano.STEPS for g, w in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [lm.CHUNK, 400, 30])
+def test_language_model(docs, none, chunk):
+    """Counts of all orders over all chunks, texts longer than a chunk included, against plain counts."""
+    training = lm.fit(docs)
+    teach = [plain(t) for i, t in TEXTS if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    ids, every = [i for i, _ in TEXTS], [plain(t) for _, t in TEXTS]
+    assert_scores(lm.score(docs, training, chunk=chunk).collect(), ids, plain_model(teach, every))
+    if chunk == lm.CHUNK:
+        assert_scores(lm.score(docs, lm.fit(none)).collect(), ids, plain_model([], every))
+        assert lm.score(none, training).count() == 0
+        other = docs.select("doc_id", "text")  # texts that do not teach, scored by those that do
+        assert_scores(lm.score(other, training).collect(), ids, plain_model(teach, every))
 
 
 def test_model_adds_up_to_one():
-    """Over all words, seen after a context or not, probabilities sum to one but for the rounding to 256 steps."""
-    words = [f"w{k}" for k in range(20)]
+    """Probabilities after every context, a word never seen included, sum to one."""
     rng = np.random.default_rng(2)
-    texts = [" ".join(rng.choice(words, p=np.arange(1, 21) / 210, size=50)).encode() for _ in range(40)]
-    counts = Counter(w for t in texts for w in t.decode().split())
-    top = sorted(counts, key=lambda w: (-counts[w], w))
-    frequent = lm.Frequent(top, np.array([counts[w] for w in top]), sum(counts.values()) + 40, 21, 40)
-    ids, _, _ = lm._ids(texts, frequent.numbers())
-    both = ids[:-1] != lm.END
-    pair, pair_c = np.unique((ids[:-1] << 16 | ids[1:])[both], return_counts=True)
-    model = lm.Model.build(frequent, pair, pair_c, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    scorer = lm.Scorer(model)
-    one = sum(10 ** (s["model"]) for s in scorer.score([w.encode() for w in top]))  # P(w | begin) * P(end | w)
-    assert 0 < one < 1
-    first = [w for w in top]
-    p = [10 ** scorer.single[k] for k in range(1, 21)]
-    place = scorer.two.find(np.full(20, 1), np.arange(1, 21))
-    follow = [10 ** scorer.two.logp[np.array([a])][0] if a >= 0 else 10 ** scorer.first_spare[1] * q for a, q in zip(place, p, strict=True)]
-    end = scorer.two.find(np.array([1]), np.array([lm.END]))[0]
-    follow.append(10 ** scorer.two.logp[np.array([end])][0] if end >= 0 else 10 ** (scorer.first_spare[1] + scorer.single[lm.END]))
-    other = 10 ** scorer.first_spare[1] / frequent.total  # one word never seen
-    assert len(first) == 20 and abs(sum(follow) + other - 1) < 0.02
+    words = [f"w{k}" for k in range(20)]
+    teach = [" ".join(rng.choice(words, p=np.arange(1, 21) / 210, size=50)) for _ in range(40)]
+    asked = [f"w3 w5 {w}" for w in [*words, "neverseen"]] + ["w3 w5"]
+    yes = np.ones(len(teach) + len(asked), dtype=bool)
+    grams = lm.Grams.of(pa.array(teach + asked), yes & (np.arange(len(yes)) < 40), yes, np.zeros(len(yes), dtype=np.int64), yes)
+    one, two, three = grams.logs(grams.word_c, grams.pair_c, grams.triple_c, int(grams.word_c.sum()), int((grams.word_c > 0).sum()))
+    logp = lm.Trie.build(grams, two, three).walk(grams.ids, grams.start)
+    last = [grams.start[40 + k] + 3 for k in range(22)]
+    assert abs(np.power(10.0, logp[last]).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize("most", [1, 7, 20, 1000])
+def test_pieces_of_long_texts(most):
+    text = b"  a bb ccc\tdddd e  ffffffffffffffffffffffff g h \n"
+    words, seen = text.split(), []
+    for k, (part, begins, lead, ends) in enumerate(got := list(lm.pieces(text, most))):
+        own = part.split()
+        assert own[:lead] == seen[len(seen) - lead :] and lead == min(2, len(seen)) and begins == (len(seen) < 2) and ends == (k == len(got) - 1)
+        seen += own[lead:]
+    assert seen == words
 
 
 def test_elias_fano():
