@@ -10,12 +10,14 @@ counted over all words, pairs and triples of all teaching texts, without a cap o
 The first token of a text has the beginning as its only context. Probabilities of a context add up
 to one, a word never seen included.
 
-Nothing is broadcast and nothing but N and V passes the driver. Texts are dealt into chunks of about
-``CHUNK`` bytes. Each chunk names its distinct n-grams once, with how often its teaching texts hold
-them; these rows meet by n-gram, where the counts of all chunks are added up, and the sums go back to
-the chunks that asked and do not know them already. A task then holds one chunk and the part of the
-model that its texts can ask for, as a trie of its own, so memory follows the chunk and not the corpus.
-Words meet as text; pairs and triples as 64-bit hashes.
+Nothing is broadcast and nothing but sizes, N and V passes the driver. Texts are dealt into chunks of
+about ``CHUNK`` bytes. Each chunk names its distinct n-grams once, with how often its teaching texts
+hold them; they meet by ranges of their hashes, where the counts of all chunks are added up, and the
+sums go back to the chunks that asked and do not know them already. A task then holds one chunk and
+the part of the model that its texts can ask for, as a trie of its own, so memory follows the chunk
+and not the corpus. Words meet as text. Pairs and triples meet as hashes of 48 bits and those of the
+range number, packed by range; ranges grow in number with the input, so two n-grams that share a hash
+stay at about one in 10^8.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ CHUNK = 8 << 20
 #: The end token as a word: no word holds white space.
 END = "\n"
 
-_PLACED = "chunk bigint, row bigint, doc_id bigint, teach boolean, text string, begins boolean, lead int, ends boolean"
-_ASKED = "key bigint, word string, chunk bigint, c bigint"
+#: Packed n-grams that meet in one task at a time; bits of a hash below its range number.
+RANGE_BYTES, LOW_BITS = 16 << 20, 48
+
+_PLACED = "chunk bigint, row bigint, doc_id bigint, teach boolean, text string, size bigint, begins boolean, lead int, ends boolean"
 _SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double"
 
 
@@ -79,6 +83,32 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def _split(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The tokens of a chunk's texts by local number, where texts start, which tokens count here, which
+    of these teach, the distinct words and how often they teach."""
+    text = table.column("text").cast(pa.large_string()).combine_chunks()
+    teach, begins, lead, ends = (table.column(c).to_numpy() for c in ("teach", "begins", "lead", "ends"))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    real = pc.not_equal(flat, "")
+    coded = flat.filter(real).dictionary_encode()
+    n = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
+    words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
+    end, begin = len(words) - 1, len(words)
+    sizes = n + begins + ends
+    stop = np.cumsum(sizes)
+    start, total = stop - sizes, int(sizes.sum())
+    ids, inner, new = np.empty(total, dtype=np.int64), np.ones(total, dtype=bool), np.ones(total, dtype=bool)
+    front, back = start[begins], (stop - 1)[ends]
+    ids[front], ids[back] = begin, end
+    inner[front] = inner[back] = new[front] = False
+    ids[inner] = coded.indices.to_numpy()
+    for k in np.flatnonzero(lead):  # only pieces of long texts have any
+        new[start[k] + begins[k] : start[k] + begins[k] + lead[k]] = False
+    taught = np.repeat(teach, sizes) & new
+    return ids, start, new, taught, words, np.bincount(ids[taught], minlength=len(words) + 1)[: len(words)]
+
+
 @dataclass(frozen=True)
 class Grams:
     """The n-grams of a chunk by local number: words as in ``words`` (the end is the last), then the beginning.
@@ -104,27 +134,9 @@ class Grams:
         return len(self.words) + 1
 
     @staticmethod
-    def of(text: pa.Array, teach: np.ndarray, begins: np.ndarray, lead: np.ndarray, ends: np.ndarray) -> Grams:
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "").cast(pa.large_string())))
-        flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
-        real = pc.not_equal(flat, "")
-        coded = flat.filter(real).dictionary_encode()
-        n = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
-        words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
-        end, begin = len(words) - 1, len(words)
-        sizes = n + begins + ends
-        stop = np.cumsum(sizes)
-        start = stop - sizes
-        total = int(sizes.sum())
-        ids, inner, new = np.empty(total, dtype=np.int64), np.ones(total, dtype=bool), np.ones(total, dtype=bool)
-        front, back = start[begins], (stop - 1)[ends]
-        ids[front], ids[back] = begin, end
-        inner[front] = inner[back] = new[front] = False
-        ids[inner] = coded.indices.to_numpy()
-        for k in np.flatnonzero(lead):  # only pieces of long texts have any
-            new[start[k] + begins[k] : start[k] + begins[k] + lead[k]] = False
-        taught, text_of = np.repeat(teach, sizes) & new, np.repeat(np.arange(len(text)), sizes)
-        word_c = np.bincount(ids[taught], minlength=len(words) + 1)[: len(words)]
+    def of(table: pa.Table) -> Grams:
+        ids, start, new, taught, words, word_c = _split(table)
+        text_of = np.repeat(np.arange(len(table)), np.diff(np.append(start, len(ids))))
 
         def distinct(codes, at):
             found, place = np.unique(codes, return_inverse=True)
@@ -140,11 +152,11 @@ class Grams:
         hashes = pd.util.hash_array(np.array([*words.to_pylist(), "\n\n"], dtype=object), categorize=False)
         return Grams(words, hashes, ids, start, new, word_c, pair, pair_c, triple, triple_c)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the pairs and of the triples."""
+    def keys(self) -> np.ndarray:
+        """The hashes of the pairs, then of the triples."""
         two = _joined(self.hashes[self.pair // self.size], self.hashes[self.pair % self.size])
         three = _joined(two[self.triple // self.size] ^ np.uint64(1), self.hashes[self.triple % self.size])
-        return two.view(np.int64), three.view(np.int64)
+        return np.concatenate([two, three])
 
     def logs(self, word_c: np.ndarray, pair_c: np.ndarray, triple_c: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of P1 by word, P2 by pair and P3 by triple, from the counts over all chunks."""
@@ -159,6 +171,27 @@ class Grams:
         return np.log10(one), np.log10(two), np.log10(three)
 
 
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Rising numbers of 48 bits with a value each: the gaps and the values byte by byte, compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8)[:, :6], values.astype("<i8").view(np.uint8).reshape(-1, 8)], axis=1)
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.T.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 14 * n), dtype=np.uint8).reshape(14, n)
+    gaps = np.zeros((n, 8), dtype=np.uint8)
+    gaps[:, :6] = planes[:6].T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[6:].T).view("<i8").ravel()
+
+
+def _short(keys: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Hashes cut to ``bits`` of a range number and the bits below it, and how many those are."""
+    low = min(LOW_BITS, 64 - bits)
+    return keys >> np.uint64(64 - bits - low), low
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of a chunk that stand one behind the other, as one table."""
     held, own = [], None
@@ -175,11 +208,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _grams(table: pa.Table) -> Grams:
-    flags = [table.column(c).to_numpy() for c in ("teach", "begins", "lead", "ends")]
-    return Grams.of(table.column("text").cast(pa.large_string()).combine_chunks(), *flags)
-
-
 def _placed(rows: DataFrame, most: int) -> DataFrame:
     """Texts cut into pieces and dealt into chunks: odd chunks are scored, even ones only teach."""
 
@@ -197,52 +225,90 @@ def _placed(rows: DataFrame, most: int) -> DataFrame:
                             run[ask[k]] += 1
                             held[ask[k]] = 0
                         held[ask[k]] += len(part) + 1
-                        out.append(((base + run[ask[k]] << 1) + ask[k], (base << 16) + row, ids[k], teach[k], part, begins, lead, ends))
+                        out.append(((base + run[ask[k]] << 1) + ask[k], (base << 16) + row, ids[k], teach[k], part, len(part), begins, lead, ends))
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 arrays[4] = arrays[4].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "row", "doc_id", "teach", "text", "begins", "lead", "ends"])
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "row", "doc_id", "teach", "text", "size", "begins", "lead", "ends"])
 
     return rows.mapInArrow(deal, _PLACED)
 
 
-def _asked(placed: DataFrame) -> DataFrame:
-    """``key, word, chunk, c``: the distinct n-grams of each chunk with their counts; ``word`` is null for pairs and triples."""
+def _words(placed: DataFrame) -> DataFrame:
+    """``chunk, word, c``: the distinct words of each chunk with their counts in teaching texts."""
 
-    def name(batches):
+    def count(batches):
         for table in _chunks(batches):
-            grams = _grams(table)
-            chunk = table.column("chunk")[0].as_py()
-            two, three = grams.keys()
-            sets = [(grams.hashes[:-1].view(np.int64), grams.words.cast(pa.string()), grams.word_c),
-                    (two, None, grams.pair_c), (three, None, grams.triple_c)]
-            for key, words, c in sets:
-                for a in range(0, len(key), 1 << 17):
-                    size = len(key[a : a + (1 << 17)])
-                    word = words.slice(a, size) if words is not None else pa.nulls(size, pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), word, pa.array(np.full(size, chunk)), pa.array(c[a : a + size])], ["key", "word", "chunk", "c"])
+            words, c = _split(table)[-2:]
+            for a in range(0, len(words), 1 << 16):
+                part = words.slice(a, 1 << 16).cast(pa.string())
+                chunk = pa.array(np.full(len(part), table.column("chunk")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([chunk, part, pa.array(c[a : a + len(part)])], ["chunk", "word", "c"])
 
-    return placed.mapInArrow(name, _ASKED)
+    return placed.mapInArrow(count, "chunk bigint, word string, c bigint")
 
 
-def _with_sums(grams: Grams, sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asked(placed: DataFrame, bits: int) -> DataFrame:
+    """``part, chunk, grams``: the distinct pairs and triples of each chunk with their counts, packed by range of their hashes."""
+
+    def name(batches):
+        for table in _chunks(batches):
+            grams = Grams.of(table)
+            keys, low = _short(grams.keys(), bits)
+            c = np.concatenate([grams.pair_c, grams.triple_c])
+            order = np.argsort(keys)
+            keys, c = keys[order], c[order]
+            part = (keys >> np.uint64(low)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+            keys &= np.uint64((1 << low) - 1)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+            spans, chunk = list(zip(cuts[:-1], cuts[1:], strict=True)), table.column("chunk")[0].as_py()
+            for k in range(0, len(spans), 64):
+                some = spans[k : k + 64]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[[a for a, _ in some]]), pa.array([chunk] * len(some), pa.int64()),
+                    pa.array([packed(keys[a:b], c[a:b]) for a, b in some], pa.binary())], ["part", "chunk", "grams"])
+
+    return placed.mapInArrow(name, "part bigint, chunk bigint, grams binary")
+
+
+def _range_sums(table: pa.Table) -> pa.Table:
+    """Of a range the sums over all chunks, packed for each chunk that asks: where they differ from its own count."""
+    rows = [unpacked(g.as_py()) for g in table.column("grams")]
+    sizes = np.array([len(k) for k, _ in rows])
+    keys, c = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
+    order = np.argsort(keys, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0]))
+    total = np.empty_like(c)
+    total[order] = np.repeat(np.add.reduceat(c[order], head), np.diff(np.append(head, len(c))))
+    out, stop = [], np.cumsum(sizes)
+    for chunk, a, b in zip(table.column("chunk").to_pylist(), stop - sizes, stop, strict=True):
+        other = np.flatnonzero(total[a:b] != c[a:b]) + a
+        if chunk & 1 and len(other):
+            out.append({"part": table.column("part")[0].as_py(), "chunk": chunk, "grams": packed(keys[other], total[other])})
+    return pa.Table.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary())]))
+
+
+def _with_sums(grams: Grams, sums: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The counts over all chunks: the chunk's own ones where no other was sent."""
-    word_c, pair_c, triple_c = grams.word_c.copy(), grams.pair_c.copy(), grams.triple_c.copy()
+    word_c, own_c = grams.word_c.copy(), np.concatenate([grams.pair_c, grams.triple_c])
     is_word = pc.is_valid(sums.column("word"))
     word = sums.filter(is_word)
     if len(word):
         place = pc.index_in(word.column("word").cast(pa.large_string()).combine_chunks(), value_set=grams.words).to_numpy(zero_copy_only=False)
         word_c[place.astype(np.int64)] = word.column("total").to_numpy()
+    keys, low = _short(grams.keys(), bits)
+    order = np.argsort(keys)
     rest = sums.filter(pc.invert(is_word))
-    key, total = rest.column("key").to_numpy(), rest.column("total").to_numpy()
-    order = np.argsort(key)
-    key, total = key[order], total[order]
-    for own, c in zip(grams.keys(), (pair_c, triple_c), strict=True):
-        if len(key):
-            at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-            c[:] = np.where(key[at] == own, total[at], c)
-    return word_c, pair_c, triple_c
+    for part, data in zip(rest.column("part").to_pylist(), rest.column("grams"), strict=True):
+        sent, total = unpacked(data.as_py())
+        if part:
+            sent |= np.uint64(part) << np.uint64(low)
+        first, last = (np.searchsorted(keys, sent, side=side, sorter=order) for side in ("left", "right"))
+        own_c[order[first]] = total
+        for k in np.flatnonzero(last - first > 1):  # n-grams of one hash share their count
+            own_c[order[first[k] : last[k]]] = total[k]
+    return word_c, own_c[: len(grams.pair)], own_c[len(grams.pair) :]
 
 
 @dataclass(frozen=True)
@@ -273,10 +339,10 @@ class Trie:
         return logp
 
 
-def score_chunk(texts: pa.Table, sums: pa.Table, tokens: int, kinds: int) -> pa.Table:
+def score_chunk(texts: pa.Table, sums: pa.Table, tokens: int, kinds: int, bits: int) -> pa.Table:
     """One row per piece of text: its tokens, those known, and its log10 probabilities."""
-    grams = _grams(texts)
-    counts = _with_sums(grams, sums)
+    grams = Grams.of(texts)
+    counts = _with_sums(grams, sums, bits)
     one, two, three = grams.logs(*counts, tokens, kinds)
     logp = Trie.build(grams, two, three).walk(grams.ids, grams.start)
     taken = np.minimum(grams.ids, len(one) - 1)
@@ -327,18 +393,23 @@ def score(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col:
         own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("teach"), F.lit(True).alias("ask"))
         rows = own.unionByName(training.rows.filter("teach").withColumn("ask", F.lit(False)))
     placed = staged(_placed(rows, chunk), "lm-texts")
-    same = Window.partitionBy("key", "word")
-    sums = _asked(placed).withColumn("total", F.sum("c").over(same))
     odd = F.col("chunk") % 2 == 1
-    sums = staged(sums.filter(F.col("word").isNotNull() | odd & (F.col("total") != F.col("c"))).select("chunk", "key", "word", "total"), "lm-sums")
-    known = sums.filter("word IS NOT NULL AND total > 0").groupBy("word").agg(F.max("total").alias("total"))
+    size = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = (2 * size // RANGE_BYTES).bit_length()  # packed n-grams are about twice the text
+    words = staged(_words(placed).withColumn("total", F.sum("c").over(Window.partitionBy("word"))), "lm-words")
+    known = words.filter("total > 0").groupBy("word").agg(F.max("total").alias("total"))
     seen = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = int(seen[0]), int(seen[1])
 
+    def add(table: pa.Table) -> pa.Table:
+        return _range_sums(table)
+
     def work(texts: pa.Table, found: pa.Table) -> pa.Table:
-        return score_chunk(texts, found, tokens, kinds)
+        return score_chunk(texts, found, tokens, kinds, bits)
 
-    parts = placed.filter(odd).groupBy("chunk").cogroup(sums.filter(odd).groupBy("chunk")).applyInArrow(work, _SCORED)
+    grams = _asked(placed, bits).groupBy("part").applyInArrow(add, "part bigint, chunk bigint, grams binary")
+    sums = words.filter(odd & (F.col("total") != F.col("c"))).select("chunk", "word", "total").unionByName(grams, allowMissingColumns=True)
+    parts = placed.filter(odd).drop("size").groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(work, _SCORED)
     return parts.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")]).select(
         "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("model").alias("score"))

@@ -306,8 +306,9 @@ def assert_scores(got, ids, want):
 
 
 @pytest.mark.parametrize("chunk", [lm.CHUNK, 400, 30])
-def test_language_model(docs, none, chunk):
+def test_language_model(docs, none, chunk, monkeypatch):
     """Counts of all orders over all chunks, texts longer than a chunk included, against plain counts."""
+    monkeypatch.setattr(lm, "RANGE_BYTES", {lm.CHUNK: lm.RANGE_BYTES, 400: 2_000, 30: 16}[chunk])
     training = lm.fit(docs)
     teach = [plain(t) for i, t in TEXTS if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     ids, every = [i for i, _ in TEXTS], [plain(t) for _, t in TEXTS]
@@ -326,13 +327,21 @@ def test_model_adds_up_to_one():
     teach = [" ".join(rng.choice(words, p=np.arange(1, 21) / 210, size=50)) for _ in range(40)]
     asked = [f"w3 w5 {w}" for w in [*words, "neverseen"]] + ["w3 w5"]
     yes = np.ones(len(teach) + len(asked), dtype=bool)
-    grams = lm.Grams.of(pa.array(teach + asked), yes & (np.arange(len(yes)) < 40), yes, np.zeros(len(yes), dtype=np.int64), yes)
+    grams = lm.Grams.of(pa.table({"text": teach + asked, "teach": yes & (np.arange(len(yes)) < 40), "begins": yes, "lead": np.zeros(len(yes), dtype=np.int32), "ends": yes}))
     one, two, three = grams.logs(grams.word_c, grams.pair_c, grams.triple_c, int(grams.word_c.sum()), int((grams.word_c > 0).sum()))
     logp = lm.Trie.build(grams, two, three).walk(grams.ids, grams.start)
     last = [grams.start[40 + k] + 3 for k in range(22)]
     assert abs(np.power(10.0, logp[last]).sum() - 1) < 1e-3
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 1000):
+        keys, values = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64)), rng.integers(0, 1 << 60, n)
+        got = lm.unpacked(lm.packed(keys, values))
+        assert (got[0] == keys).all() and (got[1] == values).all()
+
+
 @pytest.mark.parametrize("most", [1, 7, 20, 1000])
 def test_pieces_of_long_texts(most):
     text = b"  a bb ccc\tdddd e  ffffffffffffffffffffffff g h \n"
