@@ -15,9 +15,9 @@ about ``CHUNK`` bytes. Each chunk names its distinct n-grams once, with how ofte
 hold them; they meet by ranges of their hashes, where the counts of all chunks are added up, and the
 sums go back to the chunks that asked and do not know them already. A task then holds one chunk and
 the part of the model that its texts can ask for, as a trie of its own, so memory follows the chunk
-and not the corpus. Words meet as text. Pairs and triples meet as hashes of 48 bits and those of the
-range number, packed by range; ranges grow in number with the input, so two n-grams that share a hash
-stay at about one in 10^8.
+and not the corpus. Words meet as 64-bit hashes, pairs and triples as hashes of 48 bits and those of
+the range number, packed by range. Ranges grow in number with the input, so about one n-gram in 10^8
+shares its hash with another; of 10^9 different words two share theirs with a probability of 0.03.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import crc_fold, runs, staged
@@ -39,14 +39,17 @@ from feedloom.llm.elias_fano import Level
 #: Weight of the lower order, in tokens.
 PRIOR = 4.0
 #: Bytes of text in a chunk; a longer text is cut into pieces that know the two words before them.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: The end token as a word: no word holds white space.
 END = "\n"
 
 #: Packed n-grams that meet in one task at a time; bits of a hash below its range number.
 RANGE_BYTES, LOW_BITS = 16 << 20, 48
 
-_PLACED = "chunk bigint, row bigint, doc_id bigint, teach boolean, text string, size bigint, begins boolean, lead int, ends boolean"
+_PLACED = "chunk bigint, row bigint, piece bigint, doc_id bigint, teach boolean, text string, size bigint, begins boolean, lead int, ends boolean"
+_ASKED = "kind int, part bigint, chunk bigint, first bigint, last bigint, grams binary"
+_SUMS = _ASKED + ", tokens bigint, kinds bigint"
+_WORDS, _GRAMS = 0, 1
 _SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, model double"
 
 
@@ -152,11 +155,24 @@ class Grams:
         hashes = pd.util.hash_array(np.array([*words.to_pylist(), "\n\n"], dtype=object), categorize=False)
         return Grams(words, hashes, ids, start, new, word_c, pair, pair_c, triple, triple_c)
 
-    def keys(self) -> np.ndarray:
-        """The hashes of the pairs, then of the triples."""
+    def own(self) -> np.ndarray:
+        """The counts of words, pairs and triples one behind the other."""
+        return np.concatenate([self.word_c, self.pair_c, self.triple_c])
+
+    def ranged(self, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``kind, part, keys, places``: hashes in rising order below their range number, and where they stand in :meth:`own`."""
         two = _joined(self.hashes[self.pair // self.size], self.hashes[self.pair % self.size])
         three = _joined(two[self.triple // self.size] ^ np.uint64(1), self.hashes[self.triple % self.size])
-        return np.concatenate([two, three])
+        for kind, keys, width, base in ((_WORDS, self.hashes[:-1], 64, 0), (_GRAMS, np.concatenate([two, three]), LOW_BITS, len(self.word_c))):
+            low = min(width, 64 - bits)
+            keys = keys >> np.uint64(64 - bits - low)
+            places = np.argsort(keys)
+            keys = keys[places]
+            parts = keys >> np.uint64(low) if bits else np.zeros(len(keys), dtype=np.uint64)
+            keys &= np.uint64((1 << low) - 1)
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield kind, int(parts[a]), keys[a:b], places[a:b] + base
 
     def logs(self, word_c: np.ndarray, pair_c: np.ndarray, triple_c: np.ndarray, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of P1 by word, P2 by pair and P3 by triple, from the counts over all chunks."""
@@ -172,24 +188,17 @@ class Grams:
 
 
 def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """Rising numbers of 48 bits with a value each: the gaps and the values byte by byte, compressed."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 8)[:, :6], values.astype("<i8").view(np.uint8).reshape(-1, 8)], axis=1)
-    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.T.tobytes(), asbytes=True)
+    """Rising numbers with a value each: the gaps and the values byte by byte, compressed."""
+    gaps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
+    planes = np.stack([gaps, values.astype("<u8")]).view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 14 * n), dtype=np.uint8).reshape(14, n)
-    gaps = np.zeros((n, 8), dtype=np.uint8)
-    gaps[:, :6] = planes[:6].T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[6:].T).view("<i8").ravel()
-
-
-def _short(keys: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """Hashes cut to ``bits`` of a range number and the bits below it, and how many those are."""
-    low = min(LOW_BITS, 64 - bits)
-    return keys >> np.uint64(64 - bits - low), low
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 16 * n), dtype=np.uint8).reshape(2, 8, n)
+    gaps, values = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8").reshape(2, n)
+    return np.cumsum(gaps, dtype=np.uint64), values.astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -212,7 +221,7 @@ def _placed(rows: DataFrame, most: int) -> DataFrame:
     """Texts cut into pieces and dealt into chunks: odd chunks are scored, even ones only teach."""
 
     def deal(batches):
-        base, row = TaskContext.get().partitionId() << 24, 0
+        base, row, piece = TaskContext.get().partitionId() << 24, 0, 0
         run, held = [0, 0], [0, 0]
         for batch in batches:
             ids, teach, ask = (batch.column(c).to_pylist() for c in ("doc_id", "teach", "ask"))
@@ -225,90 +234,88 @@ def _placed(rows: DataFrame, most: int) -> DataFrame:
                             run[ask[k]] += 1
                             held[ask[k]] = 0
                         held[ask[k]] += len(part) + 1
-                        out.append(((base + run[ask[k]] << 1) + ask[k], (base << 16) + row, ids[k], teach[k], part, len(part), begins, lead, ends))
+                        piece += 1
+                        out.append(((base + run[ask[k]] << 1) + ask[k], (base << 16) + row, (base << 16) + piece, ids[k], teach[k], part, len(part), begins, lead, ends))
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                arrays[4] = arrays[4].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "row", "doc_id", "teach", "text", "size", "begins", "lead", "ends"])
+                arrays[5] = arrays[5].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "row", "piece", "doc_id", "teach", "text", "size", "begins", "lead", "ends"])
 
     return rows.mapInArrow(deal, _PLACED)
 
 
-def _words(placed: DataFrame) -> DataFrame:
-    """``chunk, word, c``: the distinct words of each chunk with their counts in teaching texts."""
-
-    def count(batches):
-        for table in _chunks(batches):
-            words, c = _split(table)[-2:]
-            for a in range(0, len(words), 1 << 16):
-                part = words.slice(a, 1 << 16).cast(pa.string())
-                chunk = pa.array(np.full(len(part), table.column("chunk")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([chunk, part, pa.array(c[a : a + len(part)])], ["chunk", "word", "c"])
-
-    return placed.mapInArrow(count, "chunk bigint, word string, c bigint")
-
-
 def _asked(placed: DataFrame, bits: int) -> DataFrame:
-    """``part, chunk, grams``: the distinct pairs and triples of each chunk with their counts, packed by range of their hashes."""
+    """The distinct words, pairs and triples of each chunk with their counts, packed by range of their hashes.
+
+    A file may be read in parts, so a chunk may come in several; ``first`` and ``last`` are its pieces.
+    """
+    schema = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("part", "chunk", "first", "last")], ("grams", pa.binary())])
 
     def name(batches):
         for table in _chunks(batches):
             grams = Grams.of(table)
-            keys, low = _short(grams.keys(), bits)
-            c = np.concatenate([grams.pair_c, grams.triple_c])
-            order = np.argsort(keys)
-            keys, c = keys[order], c[order]
-            part = (keys >> np.uint64(low)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
-            keys &= np.uint64((1 << low) - 1)
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-            spans, chunk = list(zip(cuts[:-1], cuts[1:], strict=True)), table.column("chunk")[0].as_py()
-            for k in range(0, len(spans), 64):
-                some = spans[k : k + 64]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part[[a for a, _ in some]]), pa.array([chunk] * len(some), pa.int64()),
-                    pa.array([packed(keys[a:b], c[a:b]) for a, b in some], pa.binary())], ["part", "chunk", "grams"])
+            own = grams.own()
+            chunk, first, last = table.column("chunk")[0].as_py(), table.column("piece")[0].as_py(), table.column("piece")[-1].as_py()
+            out = []
+            for kind, part, keys, places in grams.ranged(bits):
+                out.append((kind, part, chunk, first, last, packed(keys, own[places])))
+                if len(out) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return placed.mapInArrow(name, "part bigint, chunk bigint, grams binary")
+    return placed.mapInArrow(name, _ASKED)
 
 
 def _range_sums(table: pa.Table) -> pa.Table:
-    """Of a range the sums over all chunks, packed for each chunk that asks: where they differ from its own count."""
+    """Of a range the sums over all chunks: to each chunk that asks, by place among those that it named,
+    where they differ from its own count. A row without chunk holds the range's known words and their tokens."""
     rows = [unpacked(g.as_py()) for g in table.column("grams")]
     sizes = np.array([len(k) for k, _ in rows])
     keys, c = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
     order = np.argsort(keys, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0]))
+    sums = np.add.reduceat(c[order], head)
     total = np.empty_like(c)
-    total[order] = np.repeat(np.add.reduceat(c[order], head), np.diff(np.append(head, len(c))))
-    out, stop = [], np.cumsum(sizes)
-    for chunk, a, b in zip(table.column("chunk").to_pylist(), stop - sizes, stop, strict=True):
-        other = np.flatnonzero(total[a:b] != c[a:b]) + a
+    total[order] = np.repeat(sums, np.diff(np.append(head, len(c))))
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+    out = [(kind, part, None, None, None, None, int(sums.sum()), int((sums > 0).sum()))] if kind == _WORDS else []
+    stop = np.cumsum(sizes)
+    for (chunk, first, last), a, b in zip(zip(*(table.column(c).to_pylist() for c in ("chunk", "first", "last")), strict=True), stop - sizes, stop, strict=True):
+        other = np.flatnonzero(total[a:b] != c[a:b])
         if chunk & 1 and len(other):
-            out.append({"part": table.column("part")[0].as_py(), "chunk": chunk, "grams": packed(keys[other], total[other])})
-    return pa.Table.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary())]))
+            out.append((kind, part, chunk, first, last, packed(other, total[a:b][other]), None, None))
+    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int64()]
+    columns = zip(*out, strict=True) if out else [[]] * len(types)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "part", "chunk", "first", "last", "grams", "tokens", "kinds"])
 
 
-def _with_sums(grams: Grams, sums: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _with_sums(texts: pa.Table, grams: Grams, sums: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The counts over all chunks: the chunk's own ones where no other was sent."""
-    word_c, own_c = grams.word_c.copy(), np.concatenate([grams.pair_c, grams.triple_c])
-    is_word = pc.is_valid(sums.column("word"))
-    word = sums.filter(is_word)
-    if len(word):
-        place = pc.index_in(word.column("word").cast(pa.large_string()).combine_chunks(), value_set=grams.words).to_numpy(zero_copy_only=False)
-        word_c[place.astype(np.int64)] = word.column("total").to_numpy()
-    keys, low = _short(grams.keys(), bits)
-    order = np.argsort(keys)
-    rest = sums.filter(pc.invert(is_word))
-    for part, data in zip(rest.column("part").to_pylist(), rest.column("grams"), strict=True):
-        sent, total = unpacked(data.as_py())
-        if part:
-            sent |= np.uint64(part) << np.uint64(low)
-        first, last = (np.searchsorted(keys, sent, side=side, sorter=order) for side in ("left", "right"))
-        own_c[order[first]] = total
-        for k in np.flatnonzero(last - first > 1):  # n-grams of one hash share their count
-            own_c[order[first[k] : last[k]]] = total[k]
-    return word_c, own_c[: len(grams.pair)], own_c[len(grams.pair) :]
+    own = grams.own()
+    piece = texts.column("piece").to_numpy()
+    sent: dict = {}
+    for first, last, kind, part, data in zip(*(sums.column(c).to_pylist() for c in ("first", "last", "kind", "part", "grams")), strict=True):
+        sent.setdefault((first, last), {})[kind, part] = data
+    for (first, last), found in sent.items():
+        if first == piece[0] and last == piece[-1]:
+            for kind, part, _, places in grams.ranged(bits):
+                if (kind, part) in found:
+                    at, total = unpacked(found[kind, part])
+                    own[places[at.astype(np.int64)]] = total
+        else:  # the chunk was read in parts: the places are those of this part
+            a, b = np.searchsorted(piece, [first, last + 1])
+            some = Grams.of(texts.slice(a, b - a))
+            by_key = {(kind, part): (keys, places) for kind, part, keys, places in grams.ranged(bits)}
+            for kind, part, keys, _ in some.ranged(bits):
+                if (kind, part) in found:
+                    at, total = unpacked(found[kind, part])
+                    every, places = by_key[kind, part]
+                    own[places[np.searchsorted(every, keys[at.astype(np.int64)])]] = total
+    w, p = len(grams.word_c), len(grams.pair)
+    return own[:w], own[w : w + p], own[w + p :]
 
 
 @dataclass(frozen=True)
@@ -341,8 +348,9 @@ class Trie:
 
 def score_chunk(texts: pa.Table, sums: pa.Table, tokens: int, kinds: int, bits: int) -> pa.Table:
     """One row per piece of text: its tokens, those known, and its log10 probabilities."""
+    texts = texts.sort_by("piece")
     grams = Grams.of(texts)
-    counts = _with_sums(grams, sums, bits)
+    counts = _with_sums(texts, grams, sums, bits)
     one, two, three = grams.logs(*counts, tokens, kinds)
     logp = Trie.build(grams, two, three).walk(grams.ids, grams.start)
     taken = np.minimum(grams.ids, len(one) - 1)
@@ -396,10 +404,6 @@ def score(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col:
     odd = F.col("chunk") % 2 == 1
     size = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = (2 * size // RANGE_BYTES).bit_length()  # packed n-grams are about twice the text
-    words = staged(_words(placed).withColumn("total", F.sum("c").over(Window.partitionBy("word"))), "lm-words")
-    known = words.filter("total > 0").groupBy("word").agg(F.max("total").alias("total"))
-    seen = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, kinds = int(seen[0]), int(seen[1])
 
     def add(table: pa.Table) -> pa.Table:
         return _range_sums(table)
@@ -407,8 +411,10 @@ def score(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col:
     def work(texts: pa.Table, found: pa.Table) -> pa.Table:
         return score_chunk(texts, found, tokens, kinds, bits)
 
-    grams = _asked(placed, bits).groupBy("part").applyInArrow(add, "part bigint, chunk bigint, grams binary")
-    sums = words.filter(odd & (F.col("total") != F.col("c"))).select("chunk", "word", "total").unionByName(grams, allowMissingColumns=True)
+    sums = staged(_asked(placed, bits).groupBy("kind", "part").applyInArrow(add, _SUMS), "lm-sums")
+    seen = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).first()
+    tokens, kinds = int(seen[0]), int(seen[1])
+    sums = sums.filter("chunk IS NOT NULL").drop("tokens", "kinds")
     parts = placed.filter(odd).drop("size").groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(work, _SCORED)
     return parts.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")]).select(
         "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from feedloom.llm import chat, decontaminate, elias_fano, exact_dedup, langid, lm, minhash, piece_lattice, quality, secrets, warc
 from feedloom.session import fresh_folder
@@ -308,7 +309,7 @@ def assert_scores(got, ids, want):
 @pytest.mark.parametrize("chunk", [lm.CHUNK, 400, 30])
 def test_language_model(docs, none, chunk, monkeypatch):
     """Counts of all orders over all chunks, texts longer than a chunk included, against plain counts."""
-    monkeypatch.setattr(lm, "RANGE_BYTES", {lm.CHUNK: lm.RANGE_BYTES, 400: 2_000, 30: 16}[chunk])
+    monkeypatch.setattr(lm, "RANGE_BYTES", {lm.CHUNK: lm.RANGE_BYTES, 400: 2_000, 30: 500}[chunk])
     training = lm.fit(docs)
     teach = [plain(t) for i, t in TEXTS if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     ids, every = [i for i, _ in TEXTS], [plain(t) for _, t in TEXTS]
@@ -334,6 +335,27 @@ def test_model_adds_up_to_one():
     assert abs(np.power(10.0, logp[last]).sum() - 1) < 1e-3
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_chunk_read_in_parts(bits):
+    """A chunk that two tasks name apart gets the same sums as one that is named whole."""
+    texts = ["a b a b c", "b c d", "a b c d e", "c d a b", ""]
+    yes = np.ones(5, dtype=bool)
+    table = pa.table({"text": texts, "teach": np.array([True, False, True, True, True]), "begins": yes, "lead": np.zeros(5, dtype=np.int32), "ends": yes, "piece": np.arange(5)})
+    want = lm.Grams.of(table).own()
+    for cuts in ([0, 5], [0, 2, 5], [0, 1, 3, 5]):
+        rows = {}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part_of = lm.Grams.of(table.slice(a, b - a))
+            for kind, part, keys, places in part_of.ranged(bits):
+                rows.setdefault((kind, part), []).append({"kind": kind, "part": part, "chunk": 1, "first": a, "last": b - 1, "grams": lm.packed(keys, part_of.own()[places])})
+        sums = pa.concat_tables([lm._range_sums(pa.Table.from_pylist(r)) for r in rows.values()])
+        assert sum(x or 0 for x in sums.column("tokens").to_pylist()) == 14 + 4  # words and ends of the texts that teach
+        sums = sums.filter(pa.compute.is_valid(sums.column("chunk")))
+        whole = lm.Grams.of(table)
+        got = lm._with_sums(table, whole, sums, bits)
+        assert np.concatenate(got).tolist() == want.tolist()
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(3)
     for n in (1, 2, 1000):
