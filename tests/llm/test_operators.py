@@ -380,6 +380,7 @@ def test_elias_fano():
     for n, top in ((0, 9), (1, 1), (5, 6), (700, 5000), (20_000, 2**40)):
         values = np.unique(np.concatenate([rng.integers(0, top, size=n), np.arange(min(n, top) // 2)]))
         coded = elias_fano.EliasFano.build(values, top)
+        assert not len(values) or (coded.at(np.arange(len(values))) == values).all()
         assert (coded.values() == values.astype(np.uint64)).all()
         ask = np.concatenate([values, rng.integers(0, top, size=500)]).astype(np.int64)
         place = {int(x): k for k, x in enumerate(values)}
