@@ -127,9 +127,18 @@ def items_not_rated(ratings: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def missing_keys(left: DataFrame, right: DataFrame, key: str) -> int:
-    """How many left keys have no row on the right."""
-    return left.select(key).distinct().join(right, key, "left_anti").count()
+def annotation_gaps(images: DataFrame, **annotations: DataFrame) -> DataFrame:
+    """One row: how many images there are and, for each named table, how many have no row in it (``no_<name>``).
+
+    A null image id counts as an image that no table holds. Tables are cut to their distinct image ids
+    ahead of the join, so an image with many rows is not hot.
+    """
+    found = images.select("image_id").distinct()
+    for name, table in annotations.items():
+        ids = table.select("image_id").distinct().withColumn(f"has_{name}", F.lit(1))
+        found = found.join(ids, "image_id", "left")
+    none = [F.count_if(F.col(f"has_{name}").isNull()).alias(f"no_{name}") for name in annotations]
+    return found.agg(F.count(F.lit(1)).alias("images"), *none)
 
 
 def require_unique(df: DataFrame, key: Column, name: str) -> DataFrame:

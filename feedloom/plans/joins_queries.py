@@ -77,6 +77,18 @@ def _(t):
     )
 
 
+@check("annotation_gaps", sql="""
+SELECT count(*) AS images,
+  count(*) FILTER (WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)) AS no_boxes,
+  count(*) FILTER (WHERE c_custkey NOT IN (SELECT s_suppkey * 7 FROM supplier)) AS no_captions
+FROM (SELECT DISTINCT c_custkey FROM customer)""")
+def _(t):
+    images = t.customer.select(F.col("c_custkey").alias("image_id"))
+    boxes = t.orders.filter("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("image_id"))
+    captions = t.supplier.select((F.col("s_suppkey") * 7).alias("image_id"))
+    return J.annotation_gaps(images, boxes=boxes, captions=captions)
+
+
 @check("url_join_stories", sql=f"""
 WITH {PAGES_SQL}
 SELECT k.story_id, 'story ' || k.story_id AS label, i::INT AS place, coalesce(article_id, -1) AS article_id,
