@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.ordered import with_position
 from feedloom.plans.catalog import check
+from feedloom.plans.tables import h_sql
 from feedloom.session import fresh_folder
-from feedloom.sources import generators, readers, sinks
+from feedloom.sources import generators, readers, shards, sinks
 
 
 @check("scan_match_files", sql="""
@@ -205,6 +206,39 @@ def _(t):
     return sinks.read_shards(t.spark, path, rows.schema)
 
 
+@check("sink_named_shards", sql="""
+SELECT 'orders-' || lpad((p % 16 + 1)::VARCHAR, 5, '0') || '-of-00016' AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, false AS again FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) GROUP BY 1""")
+def _(t):
+    """A set of named shards; a second job finds it whole and writes nothing."""
+    path = fresh_folder(t.spark, "set")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    shards.write_set(rows, path, "orders", 16, ["o_orderkey"], tasks=24)
+    again = shards.write_set(rows.filter("o_orderkey is null"), path, "orders", 16, ["o_orderkey"])
+    back = shards.read_set(t.spark, path, "orders", 16, "name")
+    return back.groupBy("name").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("again", F.lit(again))
+
+
+@check("sink_named_shards_shuffled", sql=f"""
+WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
+s AS (SELECT p % 8 AS shard, o_orderkey, row_number() OVER (PARTITION BY p % 8 ORDER BY {h_sql('o_orderkey', '0', 4)}, p) - 1 AS place FROM p)
+SELECT 'orders-' || lpad((shard + 1)::VARCHAR, 5, '0') || '-of-00008' AS name, place, o_orderkey FROM s""")
+def _(t):
+    """Rows of each shard in a seeded order, read back part by part: the place follows from the parts' row counts."""
+    path = fresh_folder(t.spark, "set")
+    shards.write_set(t.orders.select("o_orderkey"), path, "orders", 8, ["o_orderkey"], shuffle_key="o_orderkey", seed=4, tasks=24)
+    starts = []
+    for name, files in shards.parts_of(path, "orders", 8).items():
+        before = 0
+        for file, n in sorted(files.items()):
+            starts.append((name, file, before))
+            before += n
+    starts = t.spark.createDataFrame(starts, "name string, file string, before bigint")
+    rows = shards.read_set(t.spark, path, "orders", 8, "name")
+    rows = rows.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(starts, ["name", "file"]).select("name", (F.col("before") + F.col("row")).alias("place"), "o_orderkey")
+
+
 @check("sink_csv_results", "sweep", """
 SELECT cache_policy, sleep_ms::INT AS sleep_ms, count(*) AS epochs, round(avg(seconds), 6) AS avg_seconds FROM sweep GROUP BY 1, 2""")
 def _(t):

@@ -29,11 +29,6 @@ def write_sharded(df: DataFrame, path: str, shards: int, order_by, shuffle_key:
     )
 
 
-def shard_name(prefix: str, index: int, shards: int) -> str:
-    """``prefix-00001-of-00016``; the index counts from 1."""
-    return f"{prefix}-{index + 1:05d}-of-{shards:05d}"
-
-
 def read_shards(spark, path: str, schema) -> DataFrame:
     """The written rows with their recorded types."""
     names = schema.names if hasattr(schema, "names") else None
