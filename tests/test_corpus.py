@@ -242,3 +242,17 @@ def test_answer_spans(spark):
     df = spark.createDataFrame([(1, text, offsets, ["new york", "york"])], "k int, c string, o array<int>, a array<string>")
     got = sorted((r["begin"], r["end"], r["text"]) for r in C.answer_spans(df, ["k"], "c", "o", "a").collect())
     assert got == [(3, 3, "New-York"), (3, 3, "York"), (5, 6, "new york"), (6, 6, "york")]
+
+
+def test_both_ways_to_segment_agree(spark):
+    """The shipped and the joined vocabulary give the same pieces, also for odd words."""
+    tokens = ["a", "ab", "abc", "##b", "##bc", "##c", "##", "é", "##é", "𝄞x", "##𝄞", "xx", "##xxxx", "##x", ""]
+    vocab = spark.createDataFrame([(t,) for t in tokens], "token string")
+    letters = ["a", "b", "c", "x", "é", "𝄞"]
+    made = {"".join(letters[(k // 6**i) % 6] for i in range(n)) for n in range(1, 5) for k in range(0, 6**n, 1 + n)}
+    words = spark.createDataFrame([(w,) for w in sorted(made | {"", "x" * 500, "abc" * 60})], "word string")
+    for prefix in ("##", ""):
+        got = [{r["word"]: r["pieces"] for r in V.segment_words(words, vocab, prefix, shipped).collect()} for shipped in (V.SHIPPED_BYTES, 0)]
+        assert got[0] == got[1] and any(got[0].values()) and None in got[0].values()
+    assert V.segment_words(words.limit(0), vocab).count() == 0
+    assert {r["pieces"] is None for r in V.segment_words(words.filter("word <> ''"), vocab.limit(0)).collect()} == {True}
