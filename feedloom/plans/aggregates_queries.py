@@ -97,14 +97,12 @@ def _(t):
     return G.decision_cost(costs(t), decisions(t), "sleep_ms", "decision").withColumn("cost", F.round("cost", 6))
 
 
-for _name in ("best_mode", "cache_advice"):
-
-    @check(_name, "sweep", f"""
+@check("best_mode", "sweep", f"""
 WITH {COST_SQL} SELECT sleep_ms, CASE least(compute, source, cache) WHEN compute THEN 'compute' WHEN source THEN 'source'
   ELSE 'cache' END AS best_mode, round(least(compute, source, cache), 6) AS cost FROM c""")
-    def _(t):
-        out = G.best_mode(costs(t), "sleep_ms", ["compute", "source", "cache"])
-        return out.withColumn("cost", F.round("cost", 6))
+def _(t):
+    out = G.best_mode(costs(t), "sleep_ms", ["compute", "source", "cache"])
+    return out.withColumn("cost", F.round("cost", 6))
 
 
 @check("throughput", "trace", """

@@ -113,3 +113,33 @@ def _(t):
         raise AssertionError("a complete table must be reused")
 
     return reuse_or_build(t.spark, path, ["l_orderkey", "total"], never)
+
+
+# Steps of a supplier's pipeline, measured by its lines: line 1 is the source; storage of 4000 bytes in grains of 25.
+MEASURED_SQL = """m AS (SELECT l_suppkey AS pipeline, l_linenumber - 1 AS mark, sum(l_quantity)::BIGINT AS compute, count(*) AS read, 2 * count(*) AS write,
+  sum(1 + l_partkey % 40)::BIGINT AS bytes, 1 + max(l_partkey) % 4 AS uses FROM lineitem GROUP BY 1, 2)"""
+
+
+def measured(t):
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("pipeline"), (F.col("l_linenumber") - 1).alias("mark")).agg(
+        F.sum("l_quantity").cast("bigint").alias("compute"), F.count("*").alias("read"), (2 * F.count("*")).alias("write"),
+        F.sum(1 + F.col("l_partkey") % 40).alias("bytes"), (1 + F.max("l_partkey") % 4).alias("uses"))
+
+
+@check("cache_advice", sql=f"""
+WITH {MEASURED_SQL},
+sub AS (SELECT p.pipeline, list_filter(p.marks, lambda v, i: (b // (1 << (i - 1)::INT)) % 2 = 1) AS kept
+  FROM (SELECT pipeline, list(mark ORDER BY mark) FILTER (WHERE mark > 0) AS marks FROM m GROUP BY 1) p, range(64) r(b) WHERE b < (1 << len(p.marks)::INT)),
+near AS (SELECT s.pipeline, s.kept, x.mark, x.uses, x.read, x.write, x.bytes, list_contains(s.kept, x.mark) AS own,
+    coalesce(list_max(list_filter(s.kept, lambda v: v < x.mark)), 0) AS back FROM sub s JOIN m x ON x.pipeline = s.pipeline AND x.mark > 0),
+reach AS (SELECT n.*, (SELECT sum(y.compute) FROM m y WHERE y.pipeline = n.pipeline AND y.mark > n.back AND y.mark <= n.mark)
+    + coalesce((SELECT z.read FROM m z WHERE z.pipeline = n.pipeline AND z.mark = n.back), 0) AS here FROM near n),
+cost AS (SELECT pipeline, kept, sum(CASE WHEN own THEN here + write + uses * read ELSE uses * here END)::BIGINT AS seconds,
+    coalesce(sum(ceil(bytes / 25.0)) FILTER (WHERE own), 0)::BIGINT AS grains FROM reach GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY seconds, grains, len(kept), kept) AS r FROM cost WHERE grains <= 160)
+SELECT b.pipeline, array_to_string(b.kept, ',') AS kept, b.seconds, b.grains, c.seconds AS plain FROM best b
+JOIN cost c ON c.pipeline = b.pipeline AND len(c.kept) = 0 WHERE r = 1""")
+def _(t):
+    """The marks of each pipeline that are worth their storage, from measured times and sizes."""
+    out = R.choose_marks(measured(t), "pipeline", 4000, 25)
+    return out.withColumn("kept", F.array_join(F.col("kept").cast("array<string>"), ","))
