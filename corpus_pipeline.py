@@ -57,8 +57,8 @@ STAGES = [
     ("encode", encode_stage),
 ]
 
-#: The scores, signatures and draws have no SQL. Tests compare operators with brute-force versions;
-#: the stages in a row are checked only for columns, row counts in a range and lossless pieces.
+#: The scores, signatures and draws have no SQL. Tests compare every stage, and the stages in a row, with
+#: plain versions (tests/llm/test_pipeline_stages.py).
 ORACLE_SQL = None
 
 
