@@ -261,6 +261,36 @@ def few_shot(annotations: DataFrame, images: DataFrame, classes: Sequence[int],
     return picked, dedup_keep_last(used, ["image_id"], [c for c in images.columns if c != "image_id"])
 
 
+def few_shot_sets(
+    annotations: DataFrame, images: DataFrame, classes: Sequence[int], seeds: Sequence[int], shots: Sequence[int]
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`few_shot` for every seed and shot count at once, with the columns ``seed`` and ``shots``.
+
+    Annotations are ranked once a seed and class; a smaller shot count takes the front of the same ranking.
+    Each set lists an image once, the last of its entries, whatever number of its annotations were picked.
+    """
+    base = annotations.filter(F.col("class").isin(*classes)).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    draw = F.coalesce(*[F.when(F.col("seed") == s, mix("box_id", "image_id", s)) for s in seeds])
+    ranked = top_rows(base, max(shots), [draw, "box_id", "image_id"], ["seed", "class"])
+    reached = F.filter(F.array(*map(F.lit, sorted(shots))), lambda n: n >= F.col("rank"))
+    picked = ranked.withColumn("shots", F.explode(reached)).drop("rank")
+    single = dedup_keep_last(images, ["image_id"], [c for c in images.columns if c != "image_id"])
+    return picked, picked.select("seed", "shots", "image_id").distinct().join(single, "image_id")
+
+
+def check_metadata(parts: DataFrame, keys: Sequence[str], metadata: Sequence[str]) -> DataFrame:
+    """One row of metadata for each set of parts; an error names a set whose parts disagree.
+
+    Metadata is compared as JSON, so nulls equal nulls and nested values count.
+    """
+    text = F.to_json(F.struct(*metadata), {"ignoreNullFields": "false"})
+    sets = parts.groupBy(*keys).agg(F.min(text).alias("_least"), F.max(text).alias("_most"), *[F.min_by(m, text).alias(m) for m in metadata])
+    name = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    wrong = F.raise_error(F.concat(F.lit("parts of set "), name, F.lit(" have different metadata")))
+    checked = F.when(F.col("_least") == F.col("_most"), F.lit(True)).otherwise(wrong.cast("boolean"))
+    return sets.filter(checked).drop("_least", "_most")
+
+
 def evaluation_rows(boxes: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Annotation rows with x, y, w, h, area (given or w * h), crowd flag and ids from 1."""
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")

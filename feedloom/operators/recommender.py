@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import mix
@@ -180,6 +180,16 @@ def example_weight(is_positive: Column, train_negatives: int, negatives: int) ->
     return share * (1 + negatives) / (1 + train_negatives)
 
 
+def padded_weights(batches: DataFrame, train_negatives: int, negatives: int) -> DataFrame:
+    """Rows of :func:`pad_eval` with ``weight``: that of an evaluation list, zero for lists that fill up a batch.
+
+    A filling list is told by its duplicates: every slot but the last. Lists have ``negatives + 1`` rows.
+    """
+    filling = F.sum("duplicate").over(Window.partitionBy("row")) == negatives
+    weight = example_weight(F.col("slot") == negatives, train_negatives, negatives)
+    return batches.withColumn("weight", F.when(filling, 0.0).otherwise(weight))
+
+
 def train_epoch(
     prepared: Prepared, num_items: int, num_neg: int, batch: int, epoch: int, seed: int,
     tallies: DataFrame | None = None,
@@ -222,6 +232,12 @@ def write_epochs(epochs: dict[int, DataFrame], path: str, shards: int = 16) -> N
         out.repartition("shard", "batch_id").write.partitionBy("shard").parquet(f"{path}/cycle={cycle}")
 
 
+def write_eval(batches: DataFrame, path: str, shards: int = 16) -> None:
+    """The folder ``eval`` beside the cycles: padded evaluation batches, dealt out to shards in turn."""
+    out = batches.withColumn("shard", (F.col("batch_id") % shards).cast("int"))
+    out.repartition("shard", "batch_id").sortWithinPartitions("shard", "row", "slot").write.partitionBy("shard").parquet(f"{path}/eval")
+
+
 def ratings_summary(prepared: Prepared, num_neg: int, train_batch: int, eval_batch: int, negatives: int) -> DataFrame:
     """Counts of users, items, positives and batches."""
     n = prepared.rows.agg(

@@ -416,6 +416,16 @@ def _(t):
     )
 
 
+@check("bucket_mask_even", sql=f"""
+WITH d AS (SELECT doc_id // 8 AS batch_id, len(list_filter({WORDS}, lambda w: length(w) % 4 <> 1)) AS n FROM documents)
+SELECT batch_id, min(n)::INT AS least, max(n)::INT AS most FROM d GROUP BY 1 HAVING min(n) <> max(n)""")
+def _(t):
+    """Batches whose rows do not hold equally many unpadded items, which trimming needs them to do."""
+    ids = F.transform(words(), lambda w: F.length(w) % 4 - 1)
+    rows = t.documents.select(F.expr("doc_id div 8").alias("batch_id"), ids.alias("ids"))
+    return B.uneven_mask_batches(rows, "batch_id", "ids")
+
+
 @check("sort_multi", "ratings", """
 SELECT user_id, item_id, row_number() OVER (ORDER BY user_id, ts, item_id) - 1 AS pos FROM ratings""")
 def _(t):

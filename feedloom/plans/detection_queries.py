@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import boxes as B
@@ -395,6 +396,38 @@ def _(t):
     return D.few_shot(t.boxes.select("image_id", "box_id", "class"), images, [1, 2, 3, 5], 30, 17)[1]
 
 
+SETS_SQL = f"""rk AS (SELECT 17 AS seed, image_id, box_id, class, row_number() OVER (PARTITION BY class ORDER BY {h_sql('box_id', 'image_id', 17)}, box_id, image_id) AS r FROM boxes WHERE class IN (1, 2, 3, 5)
+  UNION ALL SELECT 18, image_id, box_id, class, row_number() OVER (PARTITION BY class ORDER BY {h_sql('box_id', 'image_id', 18)}, box_id, image_id) FROM boxes WHERE class IN (1, 2, 3, 5)),
+st AS (SELECT seed, s AS shots, image_id, box_id, class FROM rk, (VALUES (5), (10), (30)) v(s) WHERE r <= s)"""
+
+
+def few_shot_sets(t):
+    rows = t.boxes.select("image_id", "box_id", "class")
+    return D.few_shot_sets(rows, t.boxes.select("image_id", "class"), [1, 2, 3, 5], [17, 18], [5, 10, 30])
+
+
+@check("few_shot_sets", "boxes", f"WITH {SETS_SQL} SELECT seed, shots, image_id, box_id, class FROM st")
+def _(t):
+    return few_shot_sets(t)[0].select("seed", "shots", "image_id", "box_id", "class")
+
+
+@check("few_shot_set_images", "boxes", f"""
+WITH {SETS_SQL}, im AS (SELECT image_id, max(class) AS class FROM boxes GROUP BY 1)
+SELECT DISTINCT seed, shots, im.image_id, im.class FROM st JOIN im USING (image_id)""")
+def _(t):
+    return few_shot_sets(t)[1].select("seed", "shots", "image_id", "class")
+
+
+@check("few_shot_metadata", "boxes", f"""
+WITH {SETS_SQL} SELECT seed, shots, array_to_string(list_sort(list(DISTINCT class))::VARCHAR[], ',') AS categories, 'v1' AS info FROM st GROUP BY 1, 2""")
+def _(t):
+    """The parts of a set, one a class, carry the list of the set's classes; a set whose parts disagree is an error."""
+    parts = few_shot_sets(t)[0].select("seed", "shots", "class").distinct()
+    classes = F.array_sort(F.collect_set("class").over(Window.partitionBy("seed", "shots")))
+    parts = parts.withColumns({"categories": F.array_join(classes.cast("array<string>"), ","), "info": F.lit("v1")})
+    return D.check_metadata(parts, ["seed", "shots"], ["info", "categories"])
+
+
 @check("coco_tables", "boxes", """
 SELECT image_id, box_id, class AS category_id, xmin AS x, ymin AS y, xmax - xmin AS w, ymax - ymin AS h, (xmax - xmin) * (ymax - ymin) AS area, 0 AS iscrowd,
   row_number() OVER (ORDER BY image_id, box_id) AS id FROM boxes WHERE is_truth""")

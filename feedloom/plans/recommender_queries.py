@@ -185,6 +185,34 @@ def _(t):
     return back.groupBy("shard").agg(F.count("*").alias("n"), F.sum("item").alias("items"), F.sum("label").alias("positives"))
 
 
+def padded(t):
+    p = prepared(t)
+    users = p.rows.agg(F.max("user") + 1).first()[0]
+    return R.pad_eval(R.eval_candidates(p, n_items(p), NEGATIVES, 31), users, 64, NEGATIVES)
+
+
+PADDED_SQL = EVAL_SQL + f""",
+r AS (SELECT "user" AS row, "user", slot, item, duplicate FROM cand
+  UNION ALL SELECT j, 0, s, 0, (s <> {NEGATIVES})::INT FROM sizes, range(n_users, n_users + (64 - n_users % 64) % 64) x(j), range({NEGATIVES + 1}) y(s))"""
+
+
+@check("eval_example_weights_padded", "ratings", f"""
+WITH {PADDED_SQL} SELECT row, slot::INT AS slot, round(CASE WHEN row >= n_users THEN 0.0 WHEN slot = {NEGATIVES} THEN {NEGATIVES + 1} / 5.0
+  ELSE 4 / {NEGATIVES}.0 * {NEGATIVES + 1} / 5 END, 9)::DOUBLE AS weight FROM r, sizes""")
+def _(t):
+    """Weights of whole batches; lists that only fill one up weigh nothing."""
+    return R.padded_weights(padded(t), 4, NEGATIVES).select("row", "slot", F.round("weight", 9).alias("weight"))
+
+
+@check("offline_eval_files", "ratings", f"""
+WITH {PADDED_SQL} SELECT (row // 64 % 16)::INT AS shard, count(*) AS n, sum(item)::BIGINT AS items, sum(duplicate)::BIGINT AS duplicates FROM r GROUP BY 1""")
+def _(t):
+    path = fresh_folder(t.spark, "cycles")
+    R.write_eval(padded(t), path)
+    back = t.spark.read.parquet(f"{path}/eval")
+    return back.groupBy("shard").agg(F.count("*").alias("n"), F.sum("item").alias("items"), F.sum("duplicate").alias("duplicates"))
+
+
 @check("ratings_summary", "ratings", f"""
 WITH {PREP_SQL} SELECT n_users AS users, n_items AS items, (SELECT count(*) FROM train) AS train_positives, n_users AS eval_positives,
   ceil((SELECT count(*) FROM train) * 5 / 1024)::BIGINT AS train_batches, ceil(n_users * {NEGATIVES + 1} / 1616)::BIGINT AS eval_batches FROM sizes""")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,30 @@ def test_long_lists_continue_in_parts(spark):
     df = spark.createDataFrame([(0, i) for i in range(25)] + [(1, 3)], "image_id int, box_id int")
     out = {(r["image_id"], r["part"]): r["box_id"] for r in D.nested_annotations(df, ["box_id"], ["box_id"], most=10).collect()}
     assert out == {(0, 0): list(range(10)), (0, 1): list(range(10, 20)), (0, 2): list(range(20, 25)), (1, 0): [3]}
+
+
+def test_parts_of_a_set_must_agree(spark):
+    rows = [(1, 5, "a", [1, 2]), (1, 5, "a", [1, 2]), (1, 10, None, [1]), (1, 10, None, [1]), (2, 5, "b", None)]
+    parts = spark.createDataFrame(rows, "seed int, shots int, info string, categories array<int>")
+    got = D.check_metadata(parts, ["seed", "shots"], ["info", "categories"]).collect()
+    assert sorted((r.seed, r.shots, r.info or "", r.categories) for r in got if r.seed == 1) == [(1, 5, "a", [1, 2]), (1, 10, "", [1])]
+    assert len(got) == 3 and D.check_metadata(parts.limit(0), ["seed"], ["info"]).count() == 0
+    odd = parts.union(spark.createDataFrame([(2, 5, "b", [7])], parts.schema))
+    with pytest.raises(Exception, match="parts of set 2, 5 have different metadata"):
+        D.check_metadata(odd, ["seed", "shots"], ["info", "categories"]).collect()
+
+
+def test_sets_are_the_single_splits(spark):
+    rows = [(k % 37, k, k % 5) for k in range(400)]
+    notes = spark.createDataFrame(rows, "image_id long, box_id long, class int")
+    images = notes.select("image_id", "class")
+    picked, used = D.few_shot_sets(notes, images, [1, 3], [4, 9], [2, 7])
+    got = Counter((r.seed, r.shots, r.image_id, r.box_id) for r in picked.collect())
+    shown = Counter((r.seed, r.shots, r.image_id, r["class"]) for r in used.collect())
+    want, seen = Counter(), Counter()
+    for seed in (4, 9):
+        for shots in (2, 7):
+            rows, pictures = D.few_shot(notes, images, [1, 3], shots, seed)
+            want.update((seed, shots, r.image_id, r.box_id) for r in rows.collect())
+            seen.update((seed, shots, r.image_id, r["class"]) for r in pictures.collect())
+    assert got == want and shown == seen and sum(got.values()) == 2 * 2 * 9
