@@ -256,3 +256,10 @@ def test_both_ways_to_segment_agree(spark):
         assert got[0] == got[1] and any(got[0].values()) and None in got[0].values()
     assert V.segment_words(words.limit(0), vocab).count() == 0
     assert {r["pieces"] is None for r in V.segment_words(words.filter("word <> ''"), vocab.limit(0)).collect()} == {True}
+
+
+def test_a_word_that_begins_like_a_continuation(spark):
+    vocab = spark.createDataFrame([(t,) for t in ("##ab", "##", "#", "a", "##b")], "token string")
+    words = spark.createDataFrame([(w,) for w in ("##ab", "##abb", "##b", "ab", "##a", "#b", "##")], "word string")
+    got = [{r["word"]: r["pieces"] for r in V.segment_words(words, vocab, "##", shipped).collect()} for shipped in (V.SHIPPED_BYTES, 0)]
+    assert got[0] == got[1] and got[0]["##abb"] == ["##ab", "##b"] and got[0]["##a"] is None
