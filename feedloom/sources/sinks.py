@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import mix
 from feedloom.operators.ordered import with_position
+from feedloom.sources.shards import shard_name
+
+__all__ = ["read_shards", "shard_name", "write_metadata", "write_results", "write_sharded"]
 
 
 def write_sharded(df: DataFrame, path: str, shards: int, order_by, shuffle_key: str | None = None, seed: int = 0) -> None:
