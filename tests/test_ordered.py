@@ -50,6 +50,13 @@ def test_position(spark, rows):
     assert got == {r[2]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])))}
 
 
+def test_running_beside_a_column_of_like_name(spark, rows):
+    df = frame(spark, rows).withColumnsRenamed({"x": "_s"})
+    out = O.with_running(df, ["v", "i"], {"s": ("sum", F.col("_s"))})
+    xs = [r[3] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert [r["s"] for r in out.orderBy("v", "i").collect()] == [*itertools.accumulate(xs)]
+
+
 def test_running(spark, rows):
     out = O.with_running(frame(spark, rows), ["v", "i"], {"s": ("sum", F.col("x")), "m": ("max", F.col("x")), "l": ("min", F.col("x"))}, ["g"])
     got = {r["i"]: (r["s"], r["m"], r["l"]) for r in out.collect()}
