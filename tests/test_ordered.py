@@ -42,6 +42,14 @@ def test_split_points_are_used(spark, rows):
     assert many and ranged.select(O.RANGE).distinct().count() > 4
 
 
+def test_ranges_follow_groups(spark, rows):
+    ranged, many = O.with_range(frame(spark, rows), ["v", "i"], 8, ["g"])
+    found = ranged.groupBy("g").agg(F.collect_set(O.RANGE).alias("r"), F.bool_and(O.EDGE).alias("e")).collect()
+    assert many and max(len(r["r"]) for r in found) > 2  # the hot group is spread
+    assert sum(len(r["r"]) for r in found) <= len(groups(rows)) + 7
+    assert all(r["e"] for r in found if len(r["r"]) > 1) and not all(r["e"] for r in found)
+
+
 def test_position(spark, rows):
     got = {r["i"]: r["pos"] for r in O.with_position(frame(spark, rows), ["v", "i"], ["g"]).collect()}
     want = {r[2]: n for g in groups(rows).values() for n, r in enumerate(g)}
