@@ -54,6 +54,29 @@ def test_a_hot_key_reaches_the_last_step_as_few_rows(spark):
     assert seen.value <= 2 * (8 * math.ceil(25_000 / 10_000) + 8)
 
 
+def test_a_task_merges_many_windows_at_once(spark):
+    """A reducer of many groups is called once for some thousand windows, and nulls are a key of their own."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def partial(rows, by):
+        calls.add(1)
+        return rows.group_by(by).aggregate([("v", "sum")]).rename_columns([*by, "total"])
+
+    def merge(rows, by):
+        calls.add(1)
+        return rows.group_by(by).aggregate([("total", "sum")]).rename_columns([*by, "total"])
+
+    rows = [(k % 5 or None, k) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(4)
+    got = reducers.reduce_groups_arrow(df, {"key": F.col("k")}, reducers.ArrowReducer(partial, merge, "total bigint", many=True), 4, ["v"]).collect()
+    want, nth = defaultdict(int), Counter()
+    for k, v in rows:
+        want[k, nth[k] // 4] += v
+        nth[k] += 1
+    assert {(r.key, r.window_id): r.total for r in got} == want and len(got) == 10_000
+    assert calls.value < 200
+
+
 def test_reduce_in_windows_of_a_size_by_key(spark):
     rows = [(k, k % 2) for k in range(20)]
     df = spark.createDataFrame(rows, "v long, b int")
