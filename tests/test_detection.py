@@ -89,6 +89,23 @@ def test_average_precision(spark):
             assert abs(got[(c, thr)] - want) < 1e-9
 
 
+def test_packed_outcomes_give_the_same_summary(spark):
+    """Contested, lonely, crowd and out-of-range boxes: one row a detection says what a row for each setting says."""
+    rng = random.Random(9)
+    gts = some_boxes(80, 5, images=6, spread=200)
+    dets = [(g[0], 1000 + g[1], g[2], rng.random(), *[v + rng.random() * 4 for v in g[4:]]) for g in gts] + [
+        (g[0], 2000 + g[1], g[2], rng.random(), *[v + rng.random() * 6 for v in g[4:]]) for g in gts[::3]]
+    truths = spark.createDataFrame(gts, COLUMNS).withColumn("crowd", F.col("box_id") % 7 == 0)
+    args = spark.createDataFrame(dets, COLUMNS), truths
+    packed, positives = D.packed_outcomes(*args)
+    assert packed.count() == len(dets)
+    long, _ = D.detection_outcomes(*args)
+    sizes = long.agg(F.count("*"), F.sum("tp"), F.sum("fp"), F.max(F.col("tp") + F.col("fp"))).first()
+    assert sizes[0] == 40 * len(dets) and sizes[1] > 0 and sizes[2] > 0 and sizes[3] == 1
+    values = lambda df: {(r["metric"], r["class"]): round(r["value"], 9) for r in df.collect() if r["value"] is not None}
+    assert values(D.detection_summary(packed, positives)) == values(D.detection_summary(long, positives))
+
+
 def test_box_identities(spark):
     df = spark.createDataFrame(some_boxes(50, 3), COLUMNS).select(B.box().alias("b"), B.box("ymin", "xmin", F.col("ymin") + 7, F.col("xmin") + 9).alias("a"))
     rows = df.select(B.iou("b", "b").alias("i"), B.decode(B.encode("b", "a"), "a").alias("d"), "b", B.from_centre(B.to_centre("b")).alias("c"), B.flip(B.flip("b")).alias("f")).collect()
