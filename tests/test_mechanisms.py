@@ -201,3 +201,20 @@ def test_answer_search(spark, with_empty):
     want = plain_search(windows, 5, 4, with_empty, 1.0)
     assert {q: (v, next(r.answer for r in got if r.qid == q)) for q, v in found.items()} == want
     assert Counter(r.qid for r in got).keys() == set(range(12))
+
+
+def test_label_lines_do_not_meet_by_label(spark):
+    """Few labels stand on all lines: the lines stay where they are."""
+    from feedloom.operators.joins import label_map
+    from feedloom.sources.readers import token_label_rows
+
+    files = spark.createDataFrame([(1, "a\tB\nb\tO\n\nc\nd\tX"), (2, "e\tI\nf\tB")], "k int, text string")
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = token_label_rows(files, "k", "text", label_map(spark, ["1,B", "2,I", "3,O"]))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+    assert got == [(1, 0, 0, "a", 1), (1, 0, 1, "b", 3), (1, 1, 0, "c", 0), (1, 1, 1, "d", 0), (2, 0, 0, "e", 2), (2, 0, 1, "f", 1)]
