@@ -380,3 +380,18 @@ def test_tagging_features_and_tallies_stay_with_their_rows(spark):
     assert "_item" not in alone._jdf.queryExecution().toString()
     assert tallies(alone) == [(1, 4, 2, 3), (2, 1, 1, 1), (None, 2, 2, 1)]
     assert tallies(item_tallies(items.unionByName(items.filter("k = 1 or k is null")), ["k"], "i")) == [(1, 8, 2, 6), (2, 1, 1, 1), (None, 4, 2, 2)]
+
+
+def test_target_vocabulary_counts_the_first_round_once(spark, monkeypatch):
+    """Every minimum count starts from the same counts, and rare sub-tokens are not kept."""
+    rng = random.Random(3)
+    words = [("".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7))) + "_", rng.randrange(1, 300)) for _ in range(60)]
+    df = spark.createDataFrame(list(dict(words).items()), "word string, n long").cache()
+    calls, counted = [], V._counted
+    monkeypatch.setattr(V, "_counted", lambda w, v, least: calls.append((least, counted(w, v, least))) or calls[-1][1])
+    vocab, least = V.subword_vocab_target(df, "abcde_", 40, 3, iterations=1)
+    got = {r["token"]: r["id"] for r in vocab.collect()}
+    rounds = len(calls)
+    assert rounds <= 3 and all(r["n"] >= bound or len(r["token"]) == 1 for bound, c in calls for r in c.collect())
+    plain = {r["token"]: r["id"] for r in V.subword_vocab(df, "abcde_", least, 1).collect()}
+    assert got == plain and len(calls) == rounds + 1
