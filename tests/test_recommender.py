@@ -59,6 +59,26 @@ def test_evaluation_lists(prepared, data):
         assert len(kept) == len(set(kept))
 
 
+def test_evaluation_lists_of_large_users(prepared, data, monkeypatch):
+    """Lists made in one row and lists made by ranges are the same."""
+    _, _, items = data
+    taken = lambda: sorted(tuple(r) for r in R.eval_candidates(prepared, items, NEG, 5).collect())
+    rows = taken()
+    for most in (0, 40):
+        monkeypatch.setattr(R, "LIST_ITEMS", most)
+        assert taken() == rows
+
+
+def test_a_list_of_copies_keeps_its_weight(spark):
+    """User 0 has one item left beside the positives, so every negative is the held-out item; user 1 has two."""
+    rows = [(0, i, i, "train") for i in range(4)] + [(0, 4, 9, "eval")] + [(1, i, i, "train") for i in range(3)] + [(1, 3, 9, "eval")]
+    df = spark.createDataFrame(rows, "user bigint, item bigint, ts bigint, split string")
+    batches = R.pad_eval(R.eval_candidates(R.Prepared(df, df, df), 5, 3, 1), 2, 4, 3)
+    got = {(r["row"], r["slot"]): (r["duplicate"], round(r["weight"], 9)) for r in R.padded_weights(batches, 4, 3).collect()}
+    assert [got[0, s][0] for s in range(4)] == [1, 1, 1, 0]
+    assert [got[row, s][1] for row in range(4) for s in range(4)] == [round(4 / 3 * 4 / 5, 9)] * 3 + [0.8] + [round(4 / 3 * 4 / 5, 9)] * 3 + [0.8] + [0.0] * 8
+
+
 def test_training_epochs(prepared, data):
     train, _, items = data
     a, b = (R.train_epoch(prepared, items, 4, 64, e, 9).collect() for e in (0, 1))
