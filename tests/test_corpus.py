@@ -59,6 +59,46 @@ def test_wordpiece_values(spark):
     assert got["unwanted"] == ["[UNK]"] and got["u" * 401] == ["[UNK]"]
 
 
+@pytest.mark.usefixtures("many_ranges")
+def test_longest_prefixes(spark):
+    """Entries that begin before a range and end inside it, repeated texts, texts without an entry."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab中") for _ in range(rng.randrange(9))) for _ in range(400)] + [None, "", "c", "ab\U0001f600"]
+    entries = sorted({t[: rng.randrange(1, 9)] for t in rng.sample(texts[:400], 60) if t})
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["n"] for r in V.longest_prefixes(rows, spark.createDataFrame([(e,) for e in entries], "text string"), ["id"]).collect()}
+    assert got == {i: max((len(e) for e in entries if t and t.startswith(e)), default=0) for i, t in enumerate(texts)}
+
+
+@pytest.mark.usefixtures("many_ranges")
+@pytest.mark.parametrize("prefix", ["", "##"])
+def test_ways_of_segmenting(spark, prefix):
+    """Shipped whole, shipped for the rest of a word, and joined: the same pieces; no way writes a word's substrings."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc#") for _ in range(rng.randrange(1, 10))) for _ in range(200)] + ["", "a" * 30, "##ab", "x"]
+    tokens = ["", "##", "a", "b", "##a", "##b", "##c", "##ab", "##bca"] + ["".join(rng.choice("abc#") for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    words = [*dict.fromkeys(words), "x", None]
+    df, vocab = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in tokens], "token string")
+    later = sum(len(t) + V.ENTRY_BYTES for t in tokens if t and t.startswith(prefix) and len(t) > len(prefix))
+    known = set(tokens) - {""}
+
+    def cut(word):
+        at, pieces = 0, []
+        while word is not None and at < len(word):
+            found = [p for n in range(len(word) - at, 0, -1) if (p := (prefix if at else "") + word[at : at + n]) in known]
+            if not found:
+                return None
+            pieces.append(found[0])
+            at += len(found[0]) - (len(prefix) if at else 0)
+        return None if word is None else pieces
+
+    want = sorted(((w, cut(w)) for w in words), key=repr)
+    assert any(p is None for w, p in want if w) and sum(len(p or ()) > 2 for _, p in want) > 20
+    for shipped in (1 << 20, later, 0):
+        cuts = V.segment_words(df, vocab, prefix, shipped=shipped)
+        assert sorted(((r["word"], r["pieces"]) for r in cuts.collect()), key=repr) == want
+
+
 def test_grams(spark):
     tokens = ["[CLS]", "That", "lit", "##tle", "blue", "tru", "##ck", "[SEP]"]
     df = spark.createDataFrame([(tokens,)], "t array<string>")
