@@ -99,6 +99,26 @@ def test_ways_of_segmenting(spark, prefix):
         assert sorted(((r["word"], r["pieces"]) for r in cuts.collect()), key=repr) == want
 
 
+def test_joined_words_ask_once_a_block(spark, monkeypatch):
+    """A text that many words of a block hold is looked up once; blocks of any size give the shipped way's pieces."""
+    asked, whole = [], V.longest_prefixes
+
+    def counted(rows, entries, key=()):
+        asked.append(rows.count())
+        return whole(rows, entries, key)
+
+    monkeypatch.setattr(V, "longest_prefixes", counted)
+    words = [f"{i:010b}" for i in range(500)] + ["", "0", "10" * 40, "1x", "x1", "01é0", None, "10", "10"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    vocab = spark.createDataFrame([(t,) for t in ("0", "1", "10", "##0", "##1", "##01", "##110", "##é", "0000000")], "token string")
+    plain = lambda way: sorted(((r["word"], r["pieces"]) for r in way.collect()), key=repr)
+    want = plain(V.segment_words(df, vocab, "##"))
+    assert plain(V.segment_words(df, vocab, "##", shipped=0)) == want and len(want) == len(words)
+    assert asked[0] == len(words) and asked[1] < 100  # 4,500 starts, 14 texts of them
+    monkeypatch.setattr(V, "BLOCK_STARTS", 7)
+    assert plain(V.segment_words(df, vocab, "##", shipped=0)) == want and asked[3] > 500
+
+
 def test_grams(spark):
     tokens = ["[CLS]", "That", "lit", "##tle", "blue", "tru", "##ck", "[SEP]"]
     df = spark.createDataFrame([(tokens,)], "t array<string>")
