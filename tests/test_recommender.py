@@ -92,6 +92,25 @@ def test_training_epochs(prepared, data):
     assert key(a) != key(b)
 
 
+def test_an_epoch_is_made_by_users_and_not_written(prepared, data, monkeypatch):
+    """Rows made beside a user's positives and rows made by ranges are the same; neither is written before the shuffle."""
+    _, _, items = data
+    labels = []
+    monkeypatch.setattr(R, "staged", lambda df, label="stage": labels.append(label) or staged(df, label))
+    taken = lambda: sorted(tuple(r) for r in R.train_epoch(prepared, items, 3, 64, 1, 9).collect())
+    rows = taken()
+    assert set(labels) == {"counts", "starts"}
+    for most in (0, 40):
+        monkeypatch.setattr(R, "LIST_ITEMS", most)
+        assert taken() == rows
+    monkeypatch.setattr(R, "LIST_ITEMS", 1024)
+    monkeypatch.setattr(R, "PART_ROWS", 50)
+    assert taken() == rows
+    total = len(rows)
+    fill = R.pad_last_batch(R.train_epoch(prepared, items, 3, 64, 1, 9), 64, 7, items, rows=total).filter("valid = 0").collect()
+    assert sorted(r["pos_in_batch"] for r in fill) == list(range(total % 64, 64)) and {r["batch_id"] for r in fill} == {total // 64}
+
+
 def test_held_out_item_loses_ties(spark):
     rows = [(0, s, 0, 0.5) for s in range(4)] + [(1, s, 0, 0.9 if s == 3 else 0.1) for s in range(4)]
     df = spark.createDataFrame(rows, "user int, slot int, duplicate int, score double")
