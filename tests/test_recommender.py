@@ -1,7 +1,10 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import recommender as R
+from feedloom.plans import catalog
 from feedloom.plans.tables import Tables
 from feedloom.session import staged
 
@@ -111,6 +114,16 @@ def test_an_epoch_is_made_by_users_and_not_written(prepared, data, monkeypatch):
     assert sorted(r["pos_in_batch"] for r in fill) == list(range(total % 64, 64)) and {r["batch_id"] for r in fill} == {total // 64}
 
 
+def test_weights_of_whole_evaluation_lists(spark):
+    """Every user is evaluated among 999 negatives, as many as the evaluation takes, not a tenth of them."""
+    rows = [(u, u * 3 + i, 1.0, i) for u in range(2) for i in range(R.MIN_RATINGS)]
+    t = SimpleNamespace(spark=spark, ratings=spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double, ts bigint"))
+    catalog._load()
+    got = catalog._QUERIES["eval_example_weights"](t).collect()
+    assert sorted((r["user"], r["slot"]) for r in got) == [(u, s) for u in range(2) for s in range(1000)]
+    assert {r["weight"] for r in got if r["slot"] == 999} == {200.0} and {r["weight"] for r in got if r["slot"] < 999} == {round(4 / 999 * 200, 9)}
+
+
 def test_held_out_item_loses_ties(spark):
     rows = [(0, s, 0, 0.5) for s in range(4)] + [(1, s, 0, 0.9 if s == 3 else 0.1) for s in range(4)]
     df = spark.createDataFrame(rows, "user int, slot int, duplicate int, score double")
