@@ -493,3 +493,24 @@ def test_sentence_pairs_are_cut_beside_their_document(spark, monkeypatch):
     assert labels == ["docs"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert {(r["id"], r["copy"]) for r in out.collect()} == {(d, c) for d in range(30) for c in range(2)}
+
+
+def test_a_vocabulary_is_built_without_the_driver(spark, monkeypatch):
+    """Tables that grow with the corpus are shuffled at every size; a large vocabulary also when ids are read."""
+    plans, solved = [], V.staged
+    monkeypatch.setattr(V, "staged", lambda df, label="stage": plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or solved(df, label))
+    rows = [(f"{a}{b}{c}", 1 + (len(a) + ord(c)) % 5) for a in ("ab", "abc", "b") for b in "abcde" for c in "abc"]
+    words = spark.createDataFrame(rows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    vocab = V.subword_vocab(staged(words), "abcde", 2, iterations=2, tree_rows=8)
+    kinds = {label for label, plan in plans if "BroadcastHashJoin" not in plan}
+    assert {"counts", "tree"} <= kinds and all("BroadcastHashJoin" not in plan for label, plan in plans if label in ("counts", "tree"))
+    whole = V.subword_vocab(staged(words), "abcde", 2, iterations=2)
+    assert sorted(vocab.collect()) == sorted(whole.collect())
+    coded = staged(V.subword_encode(spark.createDataFrame([(1, "abc ab bad"), (2, "")], "id int, text string"), ["id"], "text", vocab, "abcde_"))
+    texts = []
+    for most in (0, 1 << 18):
+        monkeypatch.setattr(V, "SENT_ENTRIES", most)
+        out = V.subword_decode(coded, ["id"], "ids", vocab)
+        assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        texts.append(sorted(out.collect()))
+    assert texts[0] == texts[1]
